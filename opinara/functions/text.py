@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara import vocab
 
@@ -173,7 +174,7 @@ def clean_platform_b(c) -> Column:
 PROFILES = ("basic", "standard", "aggressive", "tfidf", "minimal", "platform_b")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks (no built-in function does this)."""
     import unicodedata

@@ -126,7 +126,7 @@ def sample_predictions(
     shown = prediction_text(sampled, originals, key, text)
     if f"prob_{labels[0]}" in predictions.columns:
         chosen = best_class(labels)
-        confidence = F.format_string("%.3f", F.greatest(*[F.col(f"prob_{x}") for x in labels]))
+        confidence = F.format_string("%.3f", F.bround(F.greatest(*[F.col(f"prob_{x}") for x in labels]), 3))
     else:
         chosen, confidence = F.col("predicted"), F.lit("N/A")
     return shown.select(

@@ -10,19 +10,13 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara import vocab
 from opinara.functions.text import WORD_CHARS
 from opinara.operators.words import with_pairs
 
 MAX_VOCABULARY = 1_000_000
 
 
-def default_stop_words() -> list[str]:
-    """English stop words shipped with Spark."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def words(c, stop_words: list[str] = ()) -> Column:
     """Runs of two or more word characters, lower case, without stop words."""
     found = F.regexp_extract_all(F.lower(c), F.lit(rf"([{WORD_CHARS}]{{2,}})"), F.lit(1))
@@ -113,7 +107,7 @@ def fit_terms(
     stop_words: list[str] | None = None, ngrams: int = 2, tfidf: bool = True, output: str = "term_features",
 ) -> TermModel:
     """Fit a count or TF-IDF vectoriser on a table."""
-    stop_words = default_stop_words() if stop_words is None else stop_words
+    stop_words = vocab.STOP_WORDS if stop_words is None else stop_words
     vocab_rows = vocabulary(df, text, max_features, min_df, max_df, stop_words, ngrams).orderBy("index").collect()
     if not vocab_rows:
         raise ValueError("no terms left in the vocabulary")

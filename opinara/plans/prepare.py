@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from opinara import vocab
 from opinara.functions import calendar, scores, text
-from opinara.operators import joins, lemmas, relevance, shaping, terms
+from opinara.operators import joins, lemmas, relevance, shaping
 
 
 def clean_columns(df: DataFrame, source: str = "text", stop_words: list[str] | None = None,
                   row_id: str | None = None, lemma_table: DataFrame | None = None) -> DataFrame:
     """The three text columns in one projection; lemmas, when a table is given, need a row id."""
-    stop_words = terms.default_stop_words() if stop_words is None else stop_words
+    stop_words = vocab.STOP_WORDS if stop_words is None else stop_words
     df = df.withColumns({
         "text_tfidf": text.clean_for_tfidf(source, stop_words),
         "text_bert": text.clean_minimal(source),

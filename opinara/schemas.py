@@ -1,11 +1,4 @@
-"""Explicit schemas of every table that is read."""
-
-from pyspark.sql import types as T
-
-
-def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
+"""Explicit schemas of every table that is read, as DDL text."""
 
 _SCORED = (
     "text string, comment_length int, sentiment_polarity double, sentiment_positive double, "
@@ -14,15 +7,15 @@ _SCORED = (
 )
 _FLAGS = "contains_ai boolean, contains_opinion boolean, contains_societal boolean, sentiment_label string"
 
-RAW_A = _schema(
+RAW_A = (
     _SCORED + "post_id string, post_title string, subreddit string, post_score bigint, post_upvote_ratio double, "
     "post_num_comments bigint, post_created_utc string, " + _FLAGS
 )
-RAW_B = _schema(
+RAW_B = (
     _SCORED + "video_id string, video_title string, video_channel string, video_view_count bigint, "
     "video_like_count bigint, video_comment_count bigint, video_published_at string, " + _FLAGS
 )
-FINAL = _schema(
+FINAL = (
     "text string, text_length int, sentiment_compound double, sentiment_positive double, "
     "sentiment_negative double, sentiment_neutral double, sentiment_subjectivity double, sentiment_label string, "
     "likes bigint, replies int, created_at string, source string, source_id string, platform_post_id string, "
@@ -33,18 +26,19 @@ FINAL = _schema(
     "engagement_log double, is_positive int, is_negative int, is_neutral int, sentiment_magnitude double, "
     "community_size bigint"
 )
-THREADS = _schema(
+THREADS = (
     "video_id string, items array<struct<snippet: struct<topLevelComment: struct<snippet: struct<"
     "textDisplay: string, likeCount: bigint, publishedAt: string, id: string>>, totalReplyCount: int>>>"
 )
-VIDEOS = _schema(
+VIDEOS = (
     "items array<struct<id: string, snippet: struct<title: string, description: string, publishedAt: string, "
     "channelTitle: string>, statistics: struct<viewCount: string, likeCount: string, commentCount: string>>>"
 )
 # The replies of a comment stay JSON text, so trees of any depth fit one schema.
 COMMENT = "array<struct<id: string, body: string, score: bigint, created_utc: double, replies: string>>"
-POSTS = _schema(
+POSTS = (
     "id string, title string, selftext string, subreddit string, score bigint, upvote_ratio double, "
     "num_comments bigint, created_utc double, is_self boolean, comments string"
 )
 RECORDS = RAW_A
+FINAL_COLUMNS = [column.split()[0] for column in FINAL.split(", ")]

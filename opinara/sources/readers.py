@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opinara import schemas, vocab
 from opinara.functions import calendar, keywords, text
@@ -29,7 +28,7 @@ def _checked(reader, path: str) -> DataFrame:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _checked(spark.read.schema(schema).options(**CSV_OPTIONS).csv, path)
 
 
@@ -39,13 +38,13 @@ def read_platform(spark: SparkSession, path: str, platform: str, fmt: str = "csv
     return read_csv(spark, path, schema) if fmt == "csv" else _checked(spark.read.schema(schema).format(fmt).load, path)
 
 
-def read_final(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = schemas.FINAL) -> DataFrame:
+def read_final(spark: SparkSession, path: str, fmt: str = "csv", schema: str = schemas.FINAL) -> DataFrame:
     """The processed table with its timestamp and category types."""
     df = read_csv(spark, path, schema) if fmt == "csv" else _checked(spark.read.format(fmt).load, path)
     return shaping.finalise_types(df)
 
 
-def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructType = schemas.RECORDS) -> DataFrame:
+def read_records(spark: SparkSession, paths: str | list[str], schema: str = schemas.RECORDS) -> DataFrame:
     """Collected records, one JSON object per line, from one or many batches."""
     return _checked(spark.read.schema(schema).json, paths)
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).options(header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("source", "year"), mode: str = "error") -> None:
