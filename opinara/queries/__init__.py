@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sources", "shaping", "filters")
+MODULES = ("sources", "shaping", "filters", "aggregates", "order", "scalars")
 
 
 def load_all() -> None:
