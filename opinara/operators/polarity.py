@@ -74,7 +74,7 @@ def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
     words = F.transform(tokens(text), _stripped)
     prepared = df.select(F.col(row_id).alias("_id"), words.alias("_words"))
     uppers = F.size(F.filter("_words", _is_upper))
-    but_at = F.array_position(F.transform("_words", F.lower), "but")
+    but_at = F.nullif(F.array_position(F.transform("_words", F.lower), "but"), F.lit(0))
     prepared = prepared.select(
         "*", ((uppers > 0) & (uppers < F.size("_words"))).alias("_mixed"), (but_at - 1).cast("int").alias("_but")
     )

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("sources", "shaping", "filters", "aggregates", "order", "scalars")
+MODULES = (
+    "sources", "shaping", "filters", "aggregates", "order", "scalars", "polarity", "features", "models", "metrics", "stream",
+)
 
 
 def load_all() -> None:
