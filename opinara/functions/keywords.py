@@ -38,9 +38,12 @@ def contains_any_phrase(c, keywords: list[str]) -> Column:
 
 
 def contains_word(c, words: list[str]) -> Column:
-    """Some entry occurs between word boundaries, whatever the case."""
+    """Some entry occurs between word boundaries, whatever the case.
+
+    The pattern only runs on texts that contain an entry as a substring.
+    """
     pattern = rf"(^|[^{WORD_CHARS}])({'|'.join(words)})([^{WORD_CHARS}]|$)"
-    return F.coalesce(F.lower(_col(c)).rlike(pattern), F.lit(False))
+    return contains_any(c, words) & F.lower(_col(c)).rlike(pattern)
 
 
 def mentions_ai(c, words: list[str] = vocab.AI_WHOLE_WORDS, phrases: list[str] = vocab.AI_PHRASES) -> Column:

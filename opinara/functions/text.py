@@ -1,12 +1,14 @@
 """Column functions for text: cleaning steps, cleaning profiles, counts.
 
-Character classes are spelled out so that whitespace, word characters and digits follow Unicode. Counts
-use regular expressions instead of arrays of words, which keeps them inside generated code.
+Whitespace, word characters and digits follow Unicode. Every function evaluates its input once and stays
+within generated code where it can: counts come from lengths, not from arrays of words, and patterns that need
+a marker such as ``@`` only run on texts that have one.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,18 +17,20 @@ from pyspark.sql import types as T
 
 from opinara import vocab
 
-SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
-NOT_SPACE = r"[^\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
+# In (?U) mode \s is Unicode white space; the separators U+001C to U+001F count as white space too.
+_U = "(?U)"
+SPACE = r"[\s\x1C-\x1F]"
+NOT_SPACE = r"[^\s\x1C-\x1F]"
 WORD_CHARS = r"\p{L}\p{N}_"
 
-URL = rf"(?:http|www\.){NOT_SPACE}+"
-URL_LOOSE = rf"(?:http|www){NOT_SPACE}+"
+URL = rf"{_U}(?:http|www\.){NOT_SPACE}+"
+URL_LOOSE = rf"{_U}(?:http|www){NOT_SPACE}+"
 # Matches a whole run of non-space characters with an inner `@`. The look-behind pins it to the start of a
 # run and the possessive part never backtracks, so a long unbroken run costs one pass.
-EMAIL = rf"(?<!{NOT_SPACE}){NOT_SPACE}[^@\s\p{{Z}}\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}]*+@{NOT_SPACE}+"
+EMAIL = rf"{_U}(?<!{NOT_SPACE}){NOT_SPACE}[^@\s\x1C-\x1F]*+@{NOT_SPACE}+"
 MENTION = rf"@[{WORD_CHARS}]+"
 HASHTAG = rf"#([{WORD_CHARS}]+)"
-SPECIAL = rf"""[^{WORD_CHARS}\s\p{{Z}}\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}.,!?'"-]"""
+SPECIAL = rf"""{_U}[^{WORD_CHARS}\s\x1C-\x1F.,!?'"-]"""
 
 
 def _col(c: Column | str) -> Column:
@@ -54,7 +58,7 @@ def strip_symbols(c, symbols: str = "@#") -> Column:
 
 
 def collapse_whitespace(c) -> Column:
-    return F.trim(F.regexp_replace(_col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(_col(c), f"{_U}{SPACE}+", " "))
 
 
 def remove_punctuation(c, keep_sentence_end: bool = False) -> Column:
@@ -72,18 +76,26 @@ def blank_special(c) -> Column:
     return F.regexp_replace(_col(c), SPECIAL, " ")
 
 
-def word_count(c) -> Column:
-    return F.coalesce(F.regexp_count(_col(c), F.lit(f"{NOT_SPACE}+")), F.lit(0))
+def _letters(even: Column) -> Column:
+    return F.length(F.replace(even, F.lit(" "), F.lit("")))
+
+
+def word_count(c, collapsed: bool = False) -> Column:
+    """Words between white space. ``collapsed`` says that white space is already even and trimmed."""
+    even = _col(c) if collapsed else collapse_whitespace(c)
+    return F.coalesce(F.length(even) - _letters(even) + F.sign(F.length(even)).cast("int"), F.lit(0))
 
 
 def char_length(c) -> Column:
     return F.length(_col(c))
 
 
-def average_word_length(c) -> Column:
-    words = word_count(c)
-    letters = F.length(F.regexp_replace(_col(c), f"{SPACE}+", ""))
-    return F.when(words > 0, letters / words).otherwise(F.lit(0.0))
+def average_word_length(c, collapsed: bool = False) -> Column:
+    """Mean length of the words; zero without words."""
+    even = _col(c) if collapsed else collapse_whitespace(c)
+    letters = _letters(even)
+    words = F.length(even) - letters + 1
+    return F.coalesce(letters / words, F.lit(0.0))
 
 
 def count_char(c, char: str) -> Column:
@@ -109,7 +121,7 @@ def valid_sentences(c, longer_than: int = 5) -> Column:
 
 
 def collapse_ends(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(_col(c), f"{_U}^{SPACE}+|{SPACE}+$", "")
 
 
 def truncate(c, n: int, tail: str = "...") -> Column:
@@ -119,7 +131,7 @@ def truncate(c, n: int, tail: str = "...") -> Column:
 
 def tokens(c) -> Column:
     """Words of a text as an array, without empty entries."""
-    return F.filter(F.split(collapse_whitespace(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(collapse_whitespace(c), " "), "")
 
 
 def drop_words(words: Column, stop_words: list[str]) -> Column:
@@ -127,11 +139,11 @@ def drop_words(words: Column, stop_words: list[str]) -> Column:
 
 
 def split_contractions(c) -> Column:
-    def step(acc: Column, pair: str) -> Column:
-        left, right = pair.split("|")
-        return F.regexp_replace(acc, rf"(?<![{WORD_CHARS}])({left})({right})(?![{WORD_CHARS}])", "$1 $2")
-
-    return reduce(step, vocab.SPLIT_WORDS, _col(c))
+    """Cut the listed words in two: a space goes after the first part of a whole word."""
+    pairs = [pair.split("|") for pair in vocab.SPLIT_WORDS]
+    cuts = "|".join(rf"(?<=(?<![{WORD_CHARS}]){left})(?={right}(?![{WORD_CHARS}]))" for left, right in pairs)
+    initials = "".join(sorted({left[0] for left, _ in pairs}))
+    return F.regexp_replace(_col(c), rf"[{initials}][a-z]{{2}}(?:{cuts})", "$0 ")
 
 
 def remove_stop_words(c, stop_words: list[str]) -> Column:
@@ -141,12 +153,23 @@ def remove_stop_words(c, stop_words: list[str]) -> Column:
 # --- cleaning profiles: a null text becomes an empty one ----------------------------------------------
 
 
-def _without_noise(c) -> Column:
-    return remove_emails(remove_urls(F.coalesce(_col(c), F.lit(""))))
+def _marked(c: Column, markers: tuple[str, ...], cleaned: Column) -> Column:
+    """``cleaned`` where the raw text has one of the markers that every pattern needs, else the text itself."""
+    return F.when(reduce(or_, [F.contains(c, F.lit(m)) for m in markers]), cleaned).otherwise(c)
+
+
+def _present(c) -> Column:
+    return F.coalesce(_col(c), F.lit(""))
+
+
+def _without_social(c) -> Column:
+    text = _present(c)
+    cleaned = unwrap_hashtags(remove_mentions(remove_emails(remove_urls(text))))
+    return F.lower(_marked(text, ("http", "www.", "@", "#"), cleaned))
 
 
 def clean_basic(c) -> Column:
-    return collapse_whitespace(F.lower(unwrap_hashtags(remove_mentions(_without_noise(c)))))
+    return collapse_whitespace(_without_social(c))
 
 
 def clean_standard(c) -> Column:
@@ -159,16 +182,17 @@ def clean_aggressive(c, stop_words: list[str]) -> Column:
 
 
 def clean_for_tfidf(c, stop_words: list[str]) -> Column:
-    lowered = F.lower(unwrap_hashtags(remove_mentions(_without_noise(c))))
-    return remove_stop_words(remove_digits(remove_punctuation(lowered)), stop_words)
+    return remove_stop_words(remove_digits(remove_punctuation(_without_social(c))), stop_words)
 
 
 def clean_minimal(c) -> Column:
-    return collapse_whitespace(strip_symbols(_without_noise(c)))
+    text = _present(c)
+    return collapse_whitespace(_marked(text, ("http", "www.", "@", "#"), strip_symbols(remove_emails(remove_urls(text)))))
 
 
 def clean_platform_b(c) -> Column:
-    return collapse_whitespace(blank_special(remove_urls(F.coalesce(_col(c), F.lit("")), loose=True)))
+    text = _present(c)
+    return collapse_whitespace(blank_special(_marked(text, ("http", "www"), remove_urls(text, loose=True))))
 
 
 PROFILES = ("basic", "standard", "aggressive", "tfidf", "minimal", "platform_b")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from opinara import vocab
 from opinara.functions import scores
-from opinara.functions.text import count_char, tokens
+from opinara.functions.text import collapse_whitespace, count_char, word_count
 
 LEXICON_SCHEMA = T.StructType([
     T.StructField("token", T.StringType(), False), T.StructField("valence", T.DoubleType(), False)
@@ -35,7 +35,8 @@ def sized_lexicon(lexicon: DataFrame) -> DataFrame:
 
 
 def _is_upper(word: Column) -> Column:
-    return (F.upper(word) == word) & (F.lower(word) != word)
+    """Some letter with case, and none of them lower."""
+    return word.rlike(r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$")
 
 
 def _stripped(word: Column) -> Column:
@@ -70,19 +71,33 @@ def emphasis(text) -> Column:
     return marks + F.when(asks <= 1, 0.0).when(asks <= 3, asks * vocab.QUESTION_STEP).otherwise(vocab.QUESTION_MAX)
 
 
+# A text of mixed case has a word all in capitals and a word that is not.
+_ALL_CAPS_WORD = r"(?<![^ ])[^ \p{Ll}\p{Lt}\p{Lu}]*+\p{Lu}[^ \p{Ll}\p{Lt}]*+(?![^ ])"
+_OTHER_WORD = r"(?<![^ ])(?:[^ \p{Ll}\p{Lt}]*+[\p{Ll}\p{Lt}]|[^ \p{Lu}]++(?![^ ]))"
+
+
 def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    words = F.transform(tokens(text), _stripped)
-    prepared = df.select(F.col(row_id).alias("_id"), words.alias("_words"))
-    uppers = F.size(F.filter("_words", _is_upper))
-    but_at = F.nullif(F.array_position(F.transform("_words", F.lower), "but"), F.lit(0))
+    """One row per token with the tokens around it, as they stand in the text.
+
+    The array of a text is split once; capitals and "but" are looked for only in texts that can have them.
+    """
+    prepared = df.select(F.col(row_id).alias("_id"), collapse_whitespace(text).alias("_even"))
+    mixed = F.col("_even").rlike(_ALL_CAPS_WORD) & F.col("_even").rlike(_OTHER_WORD)
     prepared = prepared.select(
-        "*", ((uppers > 0) & (uppers < F.size("_words"))).alias("_mixed"), (but_at - 1).cast("int").alias("_but")
+        "_id", F.coalesce(mixed, F.lit(False)).alias("_mixed"),
+        F.contains(F.lower("_even"), F.lit("but")).alias("_has_but"),
+        F.array_remove(F.split("_even", " "), "").alias("_words"),
     )
+    plain = F.transform("_words", lambda w: F.lower(_stripped(w)))
+    but_at = F.when(F.col("_has_but"), F.nullif(F.array_position(plain, "but"), F.lit(0)) - 1).cast("int")
+    prepared = prepared.select("_id", "_mixed", "_words", but_at.alias("_but"))
+    rows = prepared.select("*", F.posexplode("_words").alias("_at", "_raw"))
+
     def near(step: int) -> Column:
-        return F.get("_words", F.col("_at") + step)
+        return _stripped(F.get("_words", F.col("_at") + step))
 
-    return prepared.select("*", F.posexplode("_words").alias("_at", "word")).select(
-        "_id", "_mixed", "_but", "_at", "word",
+    return rows.select(
+        "_id", "_mixed", "_but", "_at", _stripped(F.col("_raw")).alias("word"),
         near(-1).alias("w1"), near(-2).alias("w2"), near(-3).alias("w3"), near(1).alias("after"),
     )
 
@@ -137,7 +152,7 @@ def polarity(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataF
         F.sum(F.when(F.col("valence") < 0, F.col("valence") - 1)).alias("_neg"),
         F.count_if(F.col("valence") != 0).alias("_charged"),
     )
-    docs = df.select(row_id, F.size(tokens(text)).alias("_words"), emphasis(text).alias("_emphasis"))
+    docs = df.select(row_id, word_count(text).alias("_words"), emphasis(text).alias("_emphasis"))
     joined = docs.join(hits, row_id, "left").fillna(0, ["_sum", "_pos", "_neg", "_charged"])
     extra = F.col("_emphasis")
     total = F.col("_sum") + F.when(F.col("_sum") > 0, extra).when(F.col("_sum") < 0, -extra).otherwise(0.0)

@@ -31,9 +31,10 @@ def word_frequencies(df: DataFrame, by: str, text: str, stop_words: list[str], k
 
     Counts are combined before the shuffle and every task keeps its own first k before the ranking one.
     """
-    words = cloud_words(text, stop_words)
+    words = F.col("_words")
     counts = (
         df.where(F.col(by).isNotNull())
+        .select(by, cloud_words(text, stop_words).alias("_words"))
         .select(by, F.explode(with_pairs(words) if pairs else words).alias("word"))
         .groupBy(by, "word").agg(F.count("*").alias("n"))
     )

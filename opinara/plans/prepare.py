@@ -32,7 +32,7 @@ def engineer(df: DataFrame) -> DataFrame:
     score = scores.engagement("likes", "replies")
     df = df.withColumns({
         **calendar.parts("created_at"),
-        "word_count": text.word_count("text_clean"),
+        "word_count": text.word_count("text_clean", collapsed=True),
         "exclamation_count": text.count_char("text", "!"),
         "question_count": text.count_char("text", "?"),
         "period_count": text.count_char("text", "."),

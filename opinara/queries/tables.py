@@ -57,8 +57,8 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     c = comments(spark, sf).withColumn("text_clean", text.clean_basic("text"))
     score = scores.engagement("likes", "replies")
     return c.withColumns({
-        "text_length": text.char_length("text_clean"), "word_count": text.word_count("text_clean"),
-        "avg_word_length": text.average_word_length("text_clean"),
+        "text_length": text.char_length("text_clean"), "word_count": text.word_count("text_clean", collapsed=True),
+        "avg_word_length": text.average_word_length("text_clean", collapsed=True),
         "ai_keyword_count": keywords.distinct_hits("text_clean"),
         "exclamation_count": text.count_char("text", "!"), "question_count": text.count_char("text", "?"),
         "period_count": text.count_char("text", "."), "engagement_score": score,
