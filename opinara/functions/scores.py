@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opinara import vocab
-from opinara.functions.keywords import contains_word
+from opinara.functions.keywords import groups_found
 from opinara.functions.text import _col
 
 
@@ -51,8 +49,7 @@ def engagement_log(score) -> Column:
 
 def subjectivity(text, compound, groups: list[list[str]] = vocab.SUBJECTIVE_GROUPS) -> Column:
     """0.125 for each phrase group found plus half the absolute polarity, at most one."""
-    found = [contains_word(text, g).cast("int") * 0.125 for g in groups]
-    return F.least(reduce(lambda a, b: a + b, found) + F.abs(_col(compound)) * 0.5, F.lit(1.0))
+    return F.least(groups_found(text, groups) * 0.125 + F.abs(_col(compound)) * 0.5, F.lit(1.0))
 
 
 def verdict(mean, threshold: float = vocab.LABEL_THRESHOLD) -> Column:

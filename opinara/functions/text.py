@@ -1,8 +1,7 @@
 """Column functions for text: cleaning steps, cleaning profiles, counts.
 
-Whitespace, word characters and digits follow Unicode. Every function evaluates its input once and stays
-within generated code where it can: counts come from lengths, not from arrays of words, and patterns that need
-a marker such as ``@`` only run on texts that have one.
+Whitespace, word characters and digits follow Unicode. Every function evaluates its input once: filters share
+no subexpressions, so a cleaned text used by several conditions would be cleaned again for each of them.
 """
 
 from __future__ import annotations
@@ -37,6 +36,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated a single time, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def remove_urls(c, loose: bool = False) -> Column:
     return F.regexp_replace(_col(c), URL_LOOSE if loose else URL, "")
 
@@ -82,8 +86,10 @@ def _letters(even: Column) -> Column:
 
 def word_count(c, collapsed: bool = False) -> Column:
     """Words between white space. ``collapsed`` says that white space is already even and trimmed."""
-    even = _col(c) if collapsed else collapse_whitespace(c)
-    return F.coalesce(F.length(even) - _letters(even) + F.sign(F.length(even)).cast("int"), F.lit(0))
+    def count(even: Column) -> Column:
+        return F.length(even) - _letters(even) + F.when(F.length(even) > 0, 1).otherwise(0)
+
+    return F.coalesce(once(_col(c) if collapsed else collapse_whitespace(c), count), F.lit(0))
 
 
 def char_length(c) -> Column:
@@ -92,10 +98,10 @@ def char_length(c) -> Column:
 
 def average_word_length(c, collapsed: bool = False) -> Column:
     """Mean length of the words; zero without words."""
-    even = _col(c) if collapsed else collapse_whitespace(c)
-    letters = _letters(even)
-    words = F.length(even) - letters + 1
-    return F.coalesce(letters / words, F.lit(0.0))
+    def mean(even: Column) -> Column:
+        return once(_letters(even), lambda letters: letters / (F.length(even) - letters + 1))
+
+    return F.coalesce(once(_col(c) if collapsed else collapse_whitespace(c), mean), F.lit(0.0))
 
 
 def count_char(c, char: str) -> Column:
@@ -125,8 +131,10 @@ def collapse_ends(c) -> Column:
 
 
 def truncate(c, n: int, tail: str = "...") -> Column:
-    c = _col(c)
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(tail))).otherwise(c)
+    def short(t: Column) -> Column:
+        return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit(tail))).otherwise(t)
+
+    return once(_col(c), short)
 
 
 def tokens(c) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions.scores import share, verdict
-from opinara.operators.prefix import exact_quantiles, quantiles_of_counts, value_table
+from opinara.operators.prefix import exact_quantiles
 from opinara.operators.shaping import rows_from
+from opinara.operators.sizing import small_side
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -231,17 +232,16 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, by_v
 
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per class: range, exact quartiles, Tukey whiskers and the number of outliers."""
-    counts = value_table(df.where(F.col(by).isNotNull()), [by], [value])
-    quartiles = quantiles_of_counts(counts, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    rows = df.where(F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("value"))
+    quartiles = exact_quantiles(rows, [by], ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("measure")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)
     inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    rows = counts.join(fences, [by, "measure"])
-    return rows.groupBy(by, "q1", "median", "q3").agg(
+    return rows.where(F.col("value").isNotNull()).join(small_side(fences), by).groupBy(by, "q1", "median", "q3").agg(
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 

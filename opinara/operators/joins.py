@@ -1,7 +1,7 @@
 """Joins of comments, predictions and labels with their metadata.
 
-No side is broadcast by hint: metadata grows with the data, so the planner decides on measured sizes and
-adaptive execution splits hot keys of the sort-merge joins beyond that size.
+No side is broadcast without a check of its size: metadata grows with the data, so those joins are left to the
+planner, and adaptive execution splits hot keys of the sort-merge joins. Group sizes are counted first.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.operators.sizing import small_side
+
 
 def with_metadata(comments: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
     """Comments whose post or video is known, with its columns."""
@@ -19,10 +21,10 @@ def with_group_size(df: DataFrame, key: str, out: str = "community_size") -> Dat
     """Rows of the same key; NULL for a missing key.
 
     The counts are combined before the shuffle and joined back, instead of a window that would gather a hot
-    key in one task.
+    key in one task. Rows themselves are not shuffled while the groups are few enough to broadcast.
     """
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(out))
-    return df.join(sizes, key, "left")
+    return df.join(small_side(sizes), key, "left")
 
 
 def prediction_text(predictions: DataFrame, originals: DataFrame, key: str, text: str) -> DataFrame:

@@ -15,7 +15,7 @@ def lemmatise(df: DataFrame, row_id: str, text: str, lemmas: DataFrame, out: str
     is gathered per row is a single text.
     """
     table = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
-    words = df.select(row_id, F.posexplode(tokens(text)).alias("_at", "_word"))
+    words = df.select(row_id, F.posexplode_outer(tokens(text)).alias("_at", "_word")).where(F.col("_word").isNotNull())
     replaced = words.join(table, words["_word"] == table["form"], "left").select(
         row_id, F.struct("_at", F.coalesce("lemma", "_word").alias("_word")).alias("_t")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from opinara import vocab
 from opinara.functions import scores
+from opinara.operators.sizing import small_side
 from opinara.functions.text import collapse_whitespace, count_char, word_count
 
 LEXICON_SCHEMA = T.StructType([
@@ -30,8 +31,7 @@ def load_lexicon(spark, path: str) -> DataFrame:
 def sized_lexicon(lexicon: DataFrame) -> DataFrame:
     """Broadcast the lexicon when a count shows that it is small; else leave the join to the planner."""
     table = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    small = lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(table) if small else table
+    return small_side(table, BROADCAST_ROWS)
 
 
 def _is_upper(word: Column) -> Column:
@@ -91,7 +91,7 @@ def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
     plain = F.transform("_words", lambda w: F.lower(_stripped(w)))
     but_at = F.when(F.col("_has_but"), F.nullif(F.array_position(plain, "but"), F.lit(0)) - 1).cast("int")
     prepared = prepared.select("_id", "_mixed", "_words", but_at.alias("_but"))
-    rows = prepared.select("*", F.posexplode("_words").alias("_at", "_raw"))
+    rows = prepared.select("*", F.posexplode_outer("_words").alias("_at", "_raw")).where(F.col("_raw").isNotNull())
 
     def near(step: int) -> Column:
         return _stripped(F.get("_words", F.col("_at") + step))

@@ -1,8 +1,8 @@
 """Exact running sums, quantiles and rank picks without a single-task sort.
 
-A window over a whole table, or over one hot group, runs in one task. Here rows are first reduced to one
-row per distinct value, then cut into buckets of about equal size. Bucket totals give the offsets (a few
-hundred rows per group) and only the inside of each bucket is sorted, so no task sees more than one bucket.
+A window over a whole table, or over one hot group, runs in one task. Here a sketch or a hash first cuts the
+values into ranges of about equal size. Exact counts per range give the offsets (a few hundred rows per group)
+and sorting happens inside single ranges only.
 """
 
 from __future__ import annotations
@@ -11,22 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opinara.operators.sizing import small_side
+
 BUCKETS = 256
 SKETCH_ACCURACY = 10_000
 
 
-def value_table(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """One row ``(keys, measure, value, n)`` per distinct non-null value of each listed column."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values
-    ]))
-    return (
-        df.select(*keys, pairs.alias("_p"))
-        .select(*keys, "_p.measure", "_p.value")
-        .where(F.col("value").isNotNull())
-        .groupBy(*keys, "measure", "value")
-        .agg(F.count("*").alias("n"))
-    )
+def _search(cuts: Column, value: Column, buckets: int) -> Column:
+    """Number of sorted cuts below a value: first among every ``step``-th cut, then inside one stretch."""
+    step = max(1, int(buckets**0.5))
+
+    def below(part: Column) -> Column:
+        return F.size(F.filter(part, lambda c: c < value))
+
+    coarse = F.array(*[F.get(cuts, F.lit(i)) for i in range(step - 1, buckets - 1, step)])
+    passed = below(coarse) * step
+    return passed + below(F.slice(cuts, passed + 1, F.lit(step)))
 
 
 def with_prefix_sums(
@@ -38,8 +38,8 @@ def with_prefix_sums(
     """
     steps = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order_by, steps, SKETCH_ACCURACY).alias("_cuts"))
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order_by)))
-    placed = df.join(cuts, keys).withColumn("_bucket", bucket).drop("_cuts")
+    bucket = _search(F.col("_cuts"), F.col(order_by), buckets)
+    placed = df.join(small_side(cuts), keys).withColumn("_bucket", bucket).drop("_cuts")
 
     in_group = W.partitionBy(*keys)
     earlier = in_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -59,26 +59,69 @@ def with_prefix_sums(
     return joined.drop("_bucket", *[f"_{c}_offset" for c in sums], *[f"_{c}_local" for c in sums])
 
 
-def _at_rank(rank: Column) -> Column:
-    hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-    return F.max(F.when(hit, F.col("value")))
+def measures(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row ``(keys, measure, value)`` per non-null value of each listed column."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values
+    ]))
+    return df.select(*keys, pairs.alias("_p")).select(*keys, "_p.measure", "_p.value").where(F.col("value").isNotNull())
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group: one row per ``(keys, measure)``, one column per entry."""
-    return quantiles_of_counts(value_table(df, keys, values), keys, probs)
-
+    """Linearly interpolated quantiles per group: one row per ``(keys, measure)``, one column per entry.
 
-def quantiles_of_counts(counts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    ranked = with_prefix_sums(counts, [*keys, "measure"], "value", ["n"])
-    picks = []
+    A sketch gives a narrow range of values around each quantile. Exact counts per range then tell in which
+    range each wanted rank lies, whatever the quality of the sketch, and only the distinct values of those
+    ranges are shuffled and sorted. The table itself is scanned three times and never shuffled; persist it
+    first when its columns are expensive to compute.
+    """
+    groups = [*keys, "measure"]
+    margin = 2 / SKETCH_ACCURACY
+    steps = sorted({min(1.0, max(0.0, p + m)) for p in probs.values() for m in (-margin, margin)})
+    rows = measures(df, keys, values)
+    cuts = small_side(rows.groupBy(*groups).agg(F.percentile_approx("value", steps, SKETCH_ACCURACY).alias("_cuts")))
+    segment = F.lit(0)
+    for i in range(len(steps)):
+        segment = segment + (F.col("value") > F.get("_cuts", F.lit(i))).cast("int")
+    placed = rows.join(cuts, groups).select(*groups, "value", segment.alias("_segment"))
+
+    in_group = W.partitionBy(*groups)
+    earlier = in_group.orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy(*groups, "_segment").agg(F.count("*").alias("_size")).select(
+        *groups, "_segment", "_size",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        (F.sum("_size").over(in_group) - 1).alias("_last"),
+    )
+    entries = []
     for name, p in probs.items():
-        position = F.lit(p) * (F.col("n_total") - 1)
-        low = _at_rank(F.floor(position))
-        high = _at_rank(F.ceil(position))
-        fraction = F.max(position - F.floor(position))
-        picks.append((low + (high - low) * fraction).alias(name))
-    return ranked.groupBy(*keys, "measure").agg(*picks)
+        position = F.lit(p) * F.col("_last")
+        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+            entries.append(F.struct(
+                F.lit(f"{name}_{side}").alias("pick"), rank.alias("rank"), (position - F.floor(position)).alias("fraction")
+            ))
+    wanted = sizes.select("*", F.explode(F.array(*entries)).alias("_w")).select(*groups, "_segment", "_size", "_before", "_w.*")
+    wanted = small_side(
+        wanted.where((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_size")))
+        .select(*groups, "_segment", "pick", (F.col("rank") - F.col("_before")).alias("_rank"), "fraction")
+    )
+    counts = (
+        placed.join(wanted, [*groups, "_segment"], "left_semi")
+        .groupBy(*groups, "_segment", "value").agg(F.count("*").alias("_n"))
+    )
+    inside = W.partitionBy(*groups, "_segment").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    ranked = counts.withColumn("_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    picked = ranked.join(wanted, [*groups, "_segment"]).where(
+        (F.col("_first") <= F.col("_rank")) & (F.col("_rank") < F.col("_first") + F.col("_n"))
+    )
+
+    def value_of(pick: str, column: str = "value") -> Column:
+        return F.max(F.when(F.col("pick") == pick, F.col(column)))
+
+    results = []
+    for name in probs:
+        low, high = value_of(f"{name}_low"), value_of(f"{name}_high")
+        results.append((low + (high - low) * value_of(f"{name}_low", "fraction")).alias(name))
+    return picked.groupBy(*groups).agg(*results)
 
 
 def rank_thresholds(
@@ -106,7 +149,7 @@ def rank_thresholds(
     edges = edges.where((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_n")))
     rank = F.row_number().over(W.partitionBy("_g", "cut").orderBy("_h"))
     return (
-        keyed.join(edges.select("_g", "_bucket", "cut", (F.col("k") - F.col("_before")).alias("_need")), ["_g", "_bucket"])
+        keyed.join(small_side(edges.select("_g", "_bucket", "cut", (F.col("k") - F.col("_before")).alias("_need"))), ["_g", "_bucket"])
         .withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_need"))
         .groupBy(F.col("_g").alias(group))

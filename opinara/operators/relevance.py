@@ -10,7 +10,7 @@ from opinara.functions import keywords, scores, text
 
 
 def words_between(c, low: int, high: int) -> Column:
-    return text.word_count(c).between(low, high)
+    return text.once(text.word_count(c), lambda n: n.between(low, high))
 
 
 def topical(c, societal: list[str] = vocab.SOCIETAL_KEYWORDS_WIDE, ai: list[str] = vocab.AI_KEYWORDS,
@@ -32,16 +32,18 @@ def relevant_comment_a(c, **lists) -> Column:
     return words_between(c, vocab.MIN_WORDS, vocab.MAX_WORDS_COMMENT) & topical(c, **lists)
 
 
-def comment_b_prefilter(cleaned, ai: Column | None = None, opinion: list[str] = vocab.OPINION_KEYWORDS,
+def comment_b_prefilter(cleaned, ai: tuple[list[str], list[str]] = (vocab.AI_WHOLE_WORDS, vocab.AI_PHRASES), opinion: list[str] = vocab.OPINION_KEYWORDS,
                         societal: list[str] = vocab.SOCIETAL_KEYWORDS, min_sentences: int = 1) -> Column:
     """The part of the platform B filter that needs no polarity score; expects cleaned text."""
-    c = F.col(cleaned) if isinstance(cleaned, str) else cleaned
-    return (
-        words_between(c, vocab.MIN_WORDS, vocab.MAX_WORDS_COMMENT)
-        & (keywords.mentions_ai(c) if ai is None else ai)
-        & (keywords.contains_any_phrase(c, opinion) | keywords.contains_any_phrase(c, societal))
-        & (text.valid_sentences(c) >= min_sentences)
-    )
+    def keep(t: Column) -> Column:
+        return (
+            words_between(t, vocab.MIN_WORDS, vocab.MAX_WORDS_COMMENT)
+            & keywords.mentions_ai(t, *ai)
+            & (keywords.contains_any_phrase(t, opinion) | keywords.contains_any_phrase(t, societal))
+            & (text.valid_sentences(t) >= min_sentences)
+        )
+
+    return text.once(F.col(cleaned) if isinstance(cleaned, str) else cleaned, keep)
 
 
 def relevant_comment_b(cleaned, compound, **lists) -> Column:

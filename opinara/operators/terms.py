@@ -40,7 +40,7 @@ def term_statistics(df: DataFrame, text: str, stop_words: list[str] = (), ngrams
     marked = F.transform("_t", lambda t, i: F.struct(
         t.alias("term"), F.when(i == 0, 1).when(F.get("_t", i - 1) != t, 1).otherwise(0).alias("first")
     ))
-    return ordered.select(F.inline(marked)).groupBy("term").agg(
+    return ordered.select(F.inline_outer(marked)).where(F.col("term").isNotNull()).groupBy("term").agg(
         F.count("*").alias("n"), F.sum("first").alias("n_docs")
     )
 

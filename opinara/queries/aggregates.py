@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from opinara import vocab
 from opinara.operators import aggregates as a
-from opinara.operators import trends, words
+from opinara.functions import text
+from opinara.operators import relevance, trends, words
 from opinara.plans import summary
 from opinara.queries import tables as t
 from opinara.queries.registry import dates_as_text, query, rounded
@@ -65,9 +66,7 @@ def e07(spark, sf):
   FROM (SELECT *, {t.s_basic('text')} AS text_clean FROM comments) WHERE {t.s_words('text_clean')} > 0 GROUP BY source""")
 def e08(spark, sf):
     """Cleaned, non-empty comments: share of every class by source."""
-    from opinara.functions import text
-
-    c = t.comments(spark, sf).withColumn("text_clean", text.clean_basic("text")).where(text.word_count("text_clean") > 0)
+    c = relevance.drop_empty_text(t.comments(spark, sf).withColumn("text_clean", text.clean_basic("text")))
     return rounded(a.crosstab(c, "source", "label", t.LABELS))
 
 

@@ -70,7 +70,7 @@ def c07(spark, sf):
 def c08(spark, sf):
     cleaned = t.comments(spark, sf).select("doc_id", "compound", text.clean_platform_b("text").alias("c"))
     keep = relevance.relevant_comment_b(
-        "c", "compound", ai=keywords.mentions_ai("c", ["is", "der", "la"], ["of the"]), opinion=t.OPINION_WORDS, societal=t.SOCIETAL_WORDS)
+        "c", "compound", ai=(["is", "der", "la"], ["of the"]), opinion=t.OPINION_WORDS, societal=t.SOCIETAL_WORDS)
     return cleaned.where(keep).select("doc_id")
 
 
@@ -179,7 +179,7 @@ _LEXICON_SQL = "lexicon(token, valence) AS (VALUES " + ", ".join(f"('{w}', {v}::
 @query("d06_token_lexicon_join", f"""WITH {_LEXICON_SQL}, tok AS (SELECT unnest({t.s_tokens('lower(text)')}) AS token FROM documents)
   SELECT token, count(*) AS n, round(sum(valence), 4) AS total FROM tok JOIN lexicon USING (token) GROUP BY token""")
 def d06(spark, sf):
-    words = _documents(spark, sf).select(F.explode(text.tokens(F.lower("text"))).alias("token"))
+    words = _documents(spark, sf).select(F.explode_outer(text.tokens(F.lower("text"))).alias("token"))
     hits = words.join(polarity.sized_lexicon(t.lexicon(spark)), "token")
     return rounded(hits.groupBy("token").agg(F.count("*").alias("n"), F.sum("valence").alias("total")), 4)
 

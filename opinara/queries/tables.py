@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opinara import vocab
 from opinara.functions import keywords, scores, text
+from opinara.operators.sizing import spread
 
 LABELS = vocab.LABELS
+# Tables of long texts: row functions are the cost, so small files of them are spread over all cores.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
 # Words that occur in the given texts, standing in for topic words.
 AI_WORDS = ["the", "der", "la"]
 OPINION_WORDS = ["that", "que", "und"]
@@ -21,15 +23,28 @@ LEXICON = [
 LEMMAS = [("was", "be"), ("is", "be"), ("are", "be"), ("les", "le"), ("des", "de"), ("die", "der")]
 
 
+# Timestamps are read with time zone, which lets filters on them reach the scan.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table, timestamps with time zone so that filters still reach the scan."""
-    path = f"{sf}/{name}.parquet"
-    found = spark.read.parquet(path).schema
-    wanted = T.StructType([
-        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable)
-        for f in found.fields
-    ])
-    return spark.read.schema(wanted).parquet(path)
+    """A given table under its explicit schema."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
