@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opinara.functions.scores import share, verdict
 from opinara.operators.prefix import exact_quantiles
 from opinara.operators.shaping import rows_from
-from opinara.operators.sizing import small_side
+from opinara.operators.sizing import measured
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -237,7 +237,7 @@ def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)
     inside = F.col("value").between(F.col("_low"), F.col("_high"))
-    return rows.where(F.col("value").isNotNull()).join(small_side(fences), by).groupBy(by, "q1", "median", "q3").agg(
+    return rows.where(F.col("value").isNotNull()).join(measured(fences), by).groupBy(by, "q1", "median", "q3").agg(
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators.sizing import small_side
+from opinara.operators.sizing import measured
 
 
 def with_metadata(comments: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
@@ -24,7 +24,7 @@ def with_group_size(df: DataFrame, key: str, out: str = "community_size") -> Dat
     key in one task. Rows themselves are not shuffled while the groups are few enough to broadcast.
     """
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(out))
-    return df.join(small_side(sizes), key, "left")
+    return df.join(measured(sizes), key, "left")
 
 
 def prediction_text(predictions: DataFrame, originals: DataFrame, key: str, text: str) -> DataFrame:

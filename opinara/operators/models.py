@@ -20,6 +20,7 @@ from opinara.operators.splits import with_class_weight
 
 KINDS = ("logistic_regression", "random_forest", "svc", "baseline")
 MAX_TREE_DEPTH = 30
+MIN_ROWS_PER_TASK = 10_000
 
 
 @dataclass
@@ -65,7 +66,7 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def fit(train: DataFrame, kind: str, labels: list[str], label: str, params: dict | None = None, n_rows: int | None = None) -> Fitted:
+def fit(train: DataFrame, kind: str, labels: list[str], label: str, params: dict | None = None) -> Fitted:
     """Train on a table with a ``features`` vector; labels are indexed in the given order."""
     params = params or {}
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
@@ -75,9 +76,12 @@ def fit(train: DataFrame, kind: str, labels: list[str], label: str, params: dict
         rows, weight = with_class_weight(rows, label), "class_weight"
     rows = rows.select("features", "label_index", *([weight] if weight else [])).persist()
     try:
-        n_rows = n_rows or rows.count()
+        n_rows = rows.count()
+        # Every iteration starts one task per partition, so small training sets use few partitions.
+        wide = rows.rdd.getNumPartitions()
+        needed = -(-n_rows // MIN_ROWS_PER_TASK)
         started = time.perf_counter()
-        model = _estimator(kind, params, n_rows, weight).fit(rows)
+        model = _estimator(kind, params, n_rows, weight).fit(rows.coalesce(needed) if 0 < needed < wide else rows)
         seconds = time.perf_counter() - started
     finally:
         rows.unpersist()

@@ -13,14 +13,12 @@ from pyspark.sql import types as T
 
 from opinara import vocab
 from opinara.functions import scores
-from opinara.operators.sizing import small_side
+from opinara.operators.sizing import measured
 from opinara.functions.text import collapse_whitespace, count_char, word_count
 
 LEXICON_SCHEMA = T.StructType([
     T.StructField("token", T.StringType(), False), T.StructField("valence", T.DoubleType(), False)
 ])
-BROADCAST_ROWS = 200_000
-SCORES = ["compound", "positive", "negative", "neutral"]
 
 
 def load_lexicon(spark, path: str) -> DataFrame:
@@ -29,9 +27,9 @@ def load_lexicon(spark, path: str) -> DataFrame:
 
 
 def sized_lexicon(lexicon: DataFrame) -> DataFrame:
-    """Broadcast the lexicon when a count shows that it is small; else leave the join to the planner."""
+    """The lexicon with its size known to the planner, which broadcasts it when it is small."""
     table = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    return small_side(table, BROADCAST_ROWS)
+    return measured(table, "lexicon")
 
 
 def _is_upper(word: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opinara.operators.sizing import small_side
+from opinara.operators.sizing import measured
 
 BUCKETS = 256
 SKETCH_ACCURACY = 10_000
@@ -39,7 +39,7 @@ def with_prefix_sums(
     steps = [i / buckets for i in range(1, buckets)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order_by, steps, SKETCH_ACCURACY).alias("_cuts"))
     bucket = _search(F.col("_cuts"), F.col(order_by), buckets)
-    placed = df.join(small_side(cuts), keys).withColumn("_bucket", bucket).drop("_cuts")
+    placed = df.join(measured(cuts), keys).withColumn("_bucket", bucket).drop("_cuts")
 
     in_group = W.partitionBy(*keys)
     earlier = in_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -79,7 +79,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: di
     margin = 2 / SKETCH_ACCURACY
     steps = sorted({min(1.0, max(0.0, p + m)) for p in probs.values() for m in (-margin, margin)})
     rows = measures(df, keys, values)
-    cuts = small_side(rows.groupBy(*groups).agg(F.percentile_approx("value", steps, SKETCH_ACCURACY).alias("_cuts")))
+    cuts = measured(rows.groupBy(*groups).agg(F.percentile_approx("value", steps, SKETCH_ACCURACY).alias("_cuts")))
     segment = F.lit(0)
     for i in range(len(steps)):
         segment = segment + (F.col("value") > F.get("_cuts", F.lit(i))).cast("int")
@@ -100,7 +100,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: di
                 F.lit(f"{name}_{side}").alias("pick"), rank.alias("rank"), (position - F.floor(position)).alias("fraction")
             ))
     wanted = sizes.select("*", F.explode(F.array(*entries)).alias("_w")).select(*groups, "_segment", "_size", "_before", "_w.*")
-    wanted = small_side(
+    wanted = measured(
         wanted.where((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_size")))
         .select(*groups, "_segment", "pick", (F.col("rank") - F.col("_before")).alias("_rank"), "fraction")
     )
@@ -149,7 +149,7 @@ def rank_thresholds(
     edges = edges.where((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_n")))
     rank = F.row_number().over(W.partitionBy("_g", "cut").orderBy("_h"))
     return (
-        keyed.join(small_side(edges.select("_g", "_bucket", "cut", (F.col("k") - F.col("_before")).alias("_need"))), ["_g", "_bucket"])
+        keyed.join(measured(edges.select("_g", "_bucket", "cut", (F.col("k") - F.col("_before")).alias("_need"))), ["_g", "_bucket"])
         .withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_need"))
         .groupBy(F.col("_g").alias(group))

@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
+from opinara.session import scratch_path
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Compute a narrow table once, count it, and broadcast it only when the count allows.
+def measured(df: DataFrame, name: str = "side") -> DataFrame:
+    """Compute a narrow table once and read it back from the shared folder.
 
-    Beyond the bound the table is returned as it was, so the planner joins by sort-merge and adaptive
-    execution splits hot keys. The kept copy has its lineage and survives the loss of an executor.
+    The planner then knows its size in bytes: it broadcasts the table below
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins by sort-merge above it, where adaptive execution splits
+    hot keys. Being written, the table is neither computed twice nor lost with an executor.
     """
-    kept = df.persist()
-    if kept.count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

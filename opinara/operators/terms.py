@@ -36,7 +36,7 @@ def term_statistics(df: DataFrame, text: str, stop_words: list[str] = (), ngrams
     in place and no shuffle by document is needed.
     """
     single = df.select(words(F.col(text), stop_words).alias("_w"))
-    ordered = single.select(F.array_sort(with_pairs(F.col("_w")) if ngrams == 2 else F.col("_w")).alias("_t"))
+    ordered = single.select(F.sort_array(with_pairs(F.col("_w")) if ngrams == 2 else F.col("_w")).alias("_t"))
     marked = F.transform("_t", lambda t, i: F.struct(
         t.alias("term"), F.when(i == 0, 1).when(F.get("_t", i - 1) != t, 1).otherwise(0).alias("first")
     ))
