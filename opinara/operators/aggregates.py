@@ -109,7 +109,7 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """
     names = columns or df.columns
     whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    groups = df.select(F.sha2(whole, 256).alias("_d")).groupBy("_d").agg(F.count("*").alias("_n"))
+    groups = df.select(F.unhex(F.sha2(whole, 256)).alias("_d")).groupBy("_d").agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 

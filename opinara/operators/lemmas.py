@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import tokens
+from opinara.operators.sizing import measured
 
 
 def lemmatise(df: DataFrame, row_id: str, text: str, lemmas: DataFrame, out: str = "lemmatised") -> DataFrame:
@@ -14,7 +15,7 @@ def lemmatise(df: DataFrame, row_id: str, text: str, lemmas: DataFrame, out: str
     A form may have one lemma only. Words travel as ``(row, position, word)`` and are put back in order; what
     is gathered per row is a single text.
     """
-    table = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    table = measured(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), "lemmas")
     words = df.select(row_id, F.posexplode_outer(tokens(text)).alias("_at", "_word")).where(F.col("_word").isNotNull())
     replaced = words.join(table, words["_word"] == table["form"], "left").select(
         row_id, F.struct("_at", F.coalesce("lemma", "_word").alias("_word")).alias("_t")

@@ -77,14 +77,11 @@ def keep_first(df: DataFrame, subset: list[str], order_by: list[str]) -> DataFra
     combining, so a text repeated by a third of all rows costs no more than any other; the kept rows are
     then found by an equi-join on their own unique order key.
     """
-    digest = F.sha2(F.to_json(F.struct(*subset)), 256)
-    order = F.struct(*order_by)
-    winners = (
-        df.select(digest.alias("_digest"), order.alias("_order"))
-        .groupBy("_digest")
-        .agg(F.min("_order").alias("_order"))
-        .select(*[F.col(f"_order.{c}").alias(c) for c in order_by])
-    )
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*subset)), 256))
+    single = len(order_by) == 1
+    order = F.col(order_by[0]) if single else F.struct(*order_by)
+    firsts = df.select(digest.alias("_digest"), order.alias("_order")).groupBy("_digest").agg(F.min("_order").alias("_order"))
+    winners = firsts.select(*([F.col("_order").alias(order_by[0])] if single else [F.col(f"_order.{c}").alias(c) for c in order_by]))
     return df.join(winners, order_by, "left_semi")
 
 
