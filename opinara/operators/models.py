@@ -20,7 +20,9 @@ from opinara.operators.splits import with_class_weight
 
 KINDS = ("logistic_regression", "random_forest", "svc", "baseline")
 MAX_TREE_DEPTH = 30
-MIN_ROWS_PER_TASK = 10_000
+PARALLEL_FITS = 4
+# Every iteration starts one task per partition, so small training sets use few; trees do more work per row.
+MIN_ROWS_PER_TASK = {"random_forest": 500, "logistic_regression": 10_000, "svc": 10_000}
 
 
 @dataclass
@@ -62,7 +64,7 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
             maxIter=params.get("max_iter", 1000), standardization=False,
             regParam=1.0 / (params.get("C", 1.0) * n_rows), **common,
         )
-        return OneVsRest(classifier=machine, **common)
+        return OneVsRest(classifier=machine, parallelism=PARALLEL_FITS, **common)
     raise ValueError(f"unknown model kind {kind!r}")
 
 
@@ -77,9 +79,8 @@ def fit(train: DataFrame, kind: str, labels: list[str], label: str, params: dict
     rows = rows.select("features", "label_index", *([weight] if weight else [])).persist()
     try:
         n_rows = rows.count()
-        # Every iteration starts one task per partition, so small training sets use few partitions.
         wide = rows.rdd.getNumPartitions()
-        needed = -(-n_rows // MIN_ROWS_PER_TASK)
+        needed = -(-n_rows // MIN_ROWS_PER_TASK.get(kind, 1))
         started = time.perf_counter()
         model = _estimator(kind, params, n_rows, weight).fit(rows.coalesce(needed) if 0 < needed < wide else rows)
         seconds = time.perf_counter() - started

@@ -75,7 +75,7 @@ _OTHER_WORD = r"(?<![^ ])(?:[^ \p{Ll}\p{Lt}]*+[\p{Ll}\p{Lt}]|[^ \p{Lu}]++(?![^ ]
 
 
 def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """One row per token with the tokens around it, as they stand in the text.
+    """One row per token with the tokens around it; those keep their punctuation until a row is a hit.
 
     The array of a text is split once; capitals and "but" are looked for only in texts that can have them.
     """
@@ -92,7 +92,7 @@ def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
     rows = prepared.select("*", F.posexplode_outer("_words").alias("_at", "_raw")).where(F.col("_raw").isNotNull())
 
     def near(step: int) -> Column:
-        return _stripped(F.get("_words", F.col("_at") + step))
+        return F.get("_words", F.col("_at") + step)
 
     return rows.select(
         "_id", "_mixed", "_but", "_at", _stripped(F.col("_raw")).alias("word"),
@@ -107,9 +107,9 @@ def token_valences(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) ->
     rows = _token_rows(df, row_id, text)
     # Boosters carry no valence themselves, nor does "kind" in "kind of".
     low = F.lower("word")
-    rows = rows.where(~low.isin(vocab.BOOSTERS + vocab.DAMPENERS))
-    rows = rows.where(~((low == "kind") & _one_of(F.lower("after"), "of")))
-    rows = rows.join(table, low == F.col("token"))
+    rows = rows.where(~low.isin(vocab.BOOSTERS + vocab.DAMPENERS)).join(table, low == F.col("token"))
+    rows = rows.withColumns({name: _stripped(F.col(name)) for name in ("w1", "w2", "w3", "after")})
+    rows = rows.where(~((F.col("token") == "kind") & _one_of(F.lower("after"), "of")))
     for name in ("w1", "w2", "w3", "after"):
         side = members.select(F.col("_m").alias(f"_{name}"))
         rows = rows.join(side, F.lower(name) == F.col(f"_{name}"), "left").withColumn(f"in_{name}", F.col(f"_{name}").isNotNull()).drop(f"_{name}")
