@@ -206,17 +206,22 @@ def clean_platform_b(c) -> Column:
 PROFILES = ("basic", "standard", "aggressive", "tfidf", "minimal", "platform_b")
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks (no built-in function does this)."""
-    import unicodedata
+def strip_accents(c) -> Column:
+    """Compatibility decomposition without combining marks (no built-in function does this).
 
+    The function is local, so workers receive it by value and need not import this package.
+    """
     def plain(value):
+        import unicodedata
+
         if value is None or value.isascii():
             return value
         return "".join(ch for ch in unicodedata.normalize("NFKD", value) if not unicodedata.combining(ch))
 
-    return text.map(plain)
+    def convert(values: pd.Series) -> pd.Series:
+        return values.map(plain)
+
+    return F.pandas_udf(convert, T.StringType())(_col(c))
 
 
 def strip_accents_latin1(c) -> Column:

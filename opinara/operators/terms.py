@@ -37,10 +37,9 @@ def term_statistics(df: DataFrame, text: str, stop_words: list[str] = (), ngrams
     """
     single = df.select(words(F.col(text), stop_words).alias("_w"))
     ordered = single.select(F.sort_array(with_pairs(F.col("_w")) if ngrams == 2 else F.col("_w")).alias("_t"))
-    marked = F.transform("_t", lambda t, i: F.struct(
-        t.alias("term"), F.when(i == 0, 1).when(F.get("_t", i - 1) != t, 1).otherwise(0).alias("first")
-    ))
-    return ordered.select(F.inline_outer(marked)).where(F.col("term").isNotNull()).groupBy("term").agg(
+    placed = ordered.select("_t", F.posexplode_outer("_t").alias("_at", "term")).where(F.col("term").isNotNull())
+    repeated = F.coalesce(F.get("_t", F.col("_at") - 1) == F.col("term"), F.lit(False))
+    return placed.select("term", (~repeated).cast("int").alias("first")).groupBy("term").agg(
         F.count("*").alias("n"), F.sum("first").alias("n_docs")
     )
 
