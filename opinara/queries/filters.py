@@ -99,8 +99,8 @@ def c12(spark, sf):
     return relevance.drop_null_critical(d.select("doc_id", F.col("text").alias("cleaned_text"), F.col("quality").cast("string").alias("sentiment")))
 
 
-@query("c13_drop_empty_text", f"""SELECT count(*) AS n_before, count(*) FILTER (length(c) = 0) AS n_removed, count(*) FILTER (length(c) > 0) AS n_after
-  FROM (SELECT {t.s_collapse(t.s_replace('props', '[^0-9]'))} AS p, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 50 THEN '' ELSE props END AS c FROM events)""")
+@query("c13_drop_empty_text", """SELECT count(*) AS n_before, count(*) FILTER (length(c) = 0) AS n_removed, count(*) FILTER (length(c) > 0) AS n_after
+  FROM (SELECT CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 50 THEN '' ELSE props END AS c FROM events)""")
 def c13(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     e = t.table(spark, sf, "events").select(F.when(k < 50, "").otherwise(F.col("props")).alias("text_clean"))
