@@ -13,7 +13,9 @@ import time
 from pyspark.sql import SparkSession
 
 from opinara.queries import load_all
+from opinara.queries.models import FIT_SECONDS
 from opinara.queries.registry import QUERIES
+from opinara.session import BUILD_SETTINGS
 
 HEADLINE = [
     "a00_final_table", "a03_dashboard_load", "c08_relevant_comments_b", "d02_comment_with_post", "e08_class_share_by_source",
@@ -30,7 +32,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("opinara-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config(map=BUILD_SETTINGS).config("spark.sql.files.minPartitionNum", cpus).config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
@@ -42,7 +44,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - started, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "queries": seconds, "fit_seconds": FIT_SECONDS, "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
     spark.stop()
 

@@ -6,7 +6,8 @@ no subexpressions, so a cleaned text used by several conditions would be cleaned
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -224,6 +225,36 @@ def strip_accents(c) -> Column:
     return F.pandas_udf(convert, T.StringType())(_col(c))
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """Characters of the basic plane that decompose to one letter or digit, with it; combining marks follow, without."""
+    mapped, marks = {}, []
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            marks.append(ch)
+            continue
+        rest = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if rest != ch and len(rest) == 1 and rest.isalnum():
+            mapped[ch] = rest
+    return "".join(mapped) + "".join(marks), "".join(mapped.values())
+
+
+def plain_letters(c) -> Column:
+    """Letters without accents, by built-in functions. ASCII texts are only tested.
+
+    The same as ``strip_accents`` but for characters that decompose to several letters, such as ligatures and Hangul
+    syllables, which stay.
+    """
+    return F.when(_col(c).rlike(r"[^\x00-\x7F]"), F.translate(_col(c), *_plain_letters())).otherwise(_col(c))
+
+
+def plain_letters_sql(expression: str) -> str:
+    """The same as SQL text."""
+    found, plain = _plain_letters()
+    return f"CASE WHEN {expression} RLIKE '[^\\\\x00-\\\\x7F]' THEN translate({expression}, '{found}', '{plain}') ELSE {expression} END"
+
+
 def strip_accents_latin1(c) -> Column:
     """Built-in fast path for text known to use the Latin-1 letters only."""
     accented = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.scores import share, verdict
 from opinara.operators.prefix import exact_quantiles
-from opinara.operators.shaping import rows_from
+from opinara.operators.shaping import row_digest, rows_from
 from opinara.operators.sizing import measured
 
 
@@ -108,8 +108,7 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     Rows are reduced to a digest first, so long texts are never shuffled.
     """
     names = columns or df.columns
-    whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    groups = df.select(F.unhex(F.sha2(whole, 256)).alias("_d")).groupBy("_d").agg(F.count("*").alias("_n"))
+    groups = df.select(row_digest(*names).alias("_d")).groupBy("_d").agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 

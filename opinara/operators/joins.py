@@ -13,8 +13,10 @@ from opinara.operators.sizing import measured
 
 
 def with_metadata(comments: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
-    """Comments whose post or video is known, with its columns."""
-    return comments.join(metadata, key)
+    """Comments whose post or video is known, with its columns. Of repeated metadata the largest row counts."""
+    rest = [c for c in metadata.columns if c != key]
+    single = metadata.groupBy(key).agg(F.max(F.struct(*rest)).alias("_m")).select(key, *[F.col(f"_m.{c}").alias(c) for c in rest])
+    return comments.join(single, key)
 
 
 def with_group_size(df: DataFrame, key: str, out: str = "community_size") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from opinara.operators.prefix import with_prefix_sums
+
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """The k most frequent values, ties by value, with their rank."""
@@ -25,17 +27,15 @@ def ranked_per_group(df: DataFrame, keys: list[str], order_by: list[Column | str
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cap_cumulative(df: DataFrame, order_by: str, amount: str, target: int) -> DataFrame:
+def cap_cumulative(df: DataFrame, order_by: str, amount: str, target: float) -> DataFrame:
     """Rows in order until the amounts reach the target; the row that crosses it is kept.
 
-    Every kept row with a positive amount adds at least one, so the first ``target`` of them are enough and
-    the running sum is taken over at most that many rows.
+    Amounts may be fractions. Rows without a positive amount are left out. ``order_by`` must be unique. The running
+    sum is taken over ranges of the order with offsets, so no task sees more than one range.
     """
-    first = df.where(F.col(amount) > 0).orderBy(order_by).limit(target)
-    earlier = W.orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
-    return first.withColumn("collected_before", F.coalesce(F.sum(amount).over(earlier), F.lit(0))).where(
-        F.col("collected_before") < target
-    )
+    positive = df.where(F.col(amount) > 0)
+    summed = with_prefix_sums(positive, [], order_by, [amount]).drop(f"{amount}_total")
+    return summed.withColumnRenamed(f"{amount}_before", "collected_before").where(F.col("collected_before") < target)
 
 
 def hash_key(row_id: str, seed: int) -> Column:

@@ -21,8 +21,6 @@ from opinara.operators.splits import with_class_weight
 KINDS = ("logistic_regression", "random_forest", "svc", "baseline")
 MAX_TREE_DEPTH = 30
 PARALLEL_FITS = 4
-# Every iteration starts one task per partition, so small training sets use few; trees do more work per row.
-MIN_ROWS_PER_TASK = {"random_forest": 500, "logistic_regression": 10_000, "svc": 10_000}
 
 
 @dataclass
@@ -54,9 +52,11 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
             elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0, **common,
         )
     if kind == "random_forest":
-        depth = params.get("max_depth") or MAX_TREE_DEPTH
+        depth = params.get("max_depth", MAX_TREE_DEPTH)
+        if depth is None or depth > MAX_TREE_DEPTH:
+            raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep; ask for that depth or less")
         return RandomForestClassifier(
-            numTrees=params.get("n_estimators", 100), maxDepth=min(depth, MAX_TREE_DEPTH),
+            numTrees=params.get("n_estimators", 100), maxDepth=depth,
             minInstancesPerNode=params.get("min_samples_leaf", 1), seed=params.get("seed", 42), **common,
         )
     if kind == "svc":
@@ -69,20 +69,24 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
 
 
 def fit(train: DataFrame, kind: str, labels: list[str], label: str, params: dict | None = None) -> Fitted:
-    """Train on a table with a ``features`` vector; labels are indexed in the given order."""
+    """Train on a table with a ``features`` vector; labels are indexed in the given order.
+
+    ``partitions`` among the parameters sets how many tasks work on the training rows in each iteration; by default
+    they stay as they are. A label that is not listed raises an error.
+    """
     params = params or {}
-    index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
-    rows = train.withColumn("label_index", index.cast("double"))
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label))
+    unknown = F.raise_error(F.concat(F.lit("label not listed: "), F.coalesce(F.col(label), F.lit("NULL"))))
+    rows = train.withColumn("label_index", F.when(place > 0, (place - 1).cast("double")).otherwise(unknown.cast("double")))
     weight = None
     if params.get("class_weight") == "balanced":
         rows, weight = with_class_weight(rows, label), "class_weight"
-    rows = rows.select("features", "label_index", *([weight] if weight else [])).persist()
+    rows = rows.select("features", "label_index", *([weight] if weight else []))
+    rows = (rows.coalesce(params["partitions"]) if params.get("partitions") else rows).persist()
     try:
         n_rows = rows.count()
-        wide = rows.rdd.getNumPartitions()
-        needed = -(-n_rows // MIN_ROWS_PER_TASK.get(kind, 1))
         started = time.perf_counter()
-        model = _estimator(kind, params, n_rows, weight).fit(rows.coalesce(needed) if 0 < needed < wide else rows)
+        model = _estimator(kind, params, n_rows, weight).fit(rows)
         seconds = time.perf_counter() - started
     finally:
         rows.unpersist()

@@ -1,8 +1,8 @@
 """Exact running sums, quantiles and rank picks without a single-task sort.
 
-A window over a whole table, or over one hot group, runs in one task. Here a sketch or a hash first cuts the
-values into ranges of about equal size. Exact counts per range give the offsets (a few hundred rows per group)
-and sorting happens inside single ranges only.
+A window over a whole table, or over one hot group, runs in one task. Here the values are first cut into ranges whose
+number follows from the number of rows. Exact sums per range give the offsets (one row per range) and sorting happens
+inside single ranges only.
 """
 
 from __future__ import annotations
@@ -13,50 +13,40 @@ from pyspark.sql import functions as F
 
 from opinara.operators.sizing import measured
 
-BUCKETS = 256
 SKETCH_ACCURACY = 10_000
-
-
-def _search(cuts: Column, value: Column, buckets: int) -> Column:
-    """Number of sorted cuts below a value: first among every ``step``-th cut, then inside one stretch."""
-    step = max(1, int(buckets**0.5))
-
-    def below(part: Column) -> Column:
-        return F.size(F.filter(part, lambda c: c < value))
-
-    coarse = F.array(*[F.get(cuts, F.lit(i)) for i in range(step - 1, buckets - 1, step)])
-    passed = below(coarse) * step
-    return passed + below(F.slice(cuts, passed + 1, F.lit(step)))
+#: Rows that one range of a running sum, or one hash bucket of a rank pick, holds on average at most.
+ROWS_PER_RANGE = 1_000_000
 
 
 def with_prefix_sums(
-    df: DataFrame, keys: list[str], order_by: str, sums: list[str], buckets: int = BUCKETS
+    df: DataFrame, keys: list[str], order_by: str, sums: list[str], rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add ``<c>_before`` (sum over smaller ``order_by``) and ``<c>_total`` for each summed column.
 
-    ``order_by`` must be numeric and unique within ``keys``.
+    ``order_by`` must be unique within ``keys``; without keys the sum runs over the whole table. The rows are written
+    and counted, then dealt into as many ranges of the order as the count asks for, whatever group they belong to.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(order_by, steps, SKETCH_ACCURACY).alias("_cuts"))
-    bucket = _search(F.col("_cuts"), F.col(order_by), buckets)
-    placed = df.join(measured(cuts), keys).withColumn("_bucket", bucket).drop("_cuts")
+    rows = measured(df, "rows")
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    dealt = rows.repartitionByRange(ranges, *keys, order_by).withColumn("_range", F.spark_partition_id())
+    dealt = measured(dealt, "ranges")
 
     in_group = W.partitionBy(*keys)
-    earlier = in_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_{c}_sum") for c in sums])
+    earlier = in_group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}_sum") for c in sums])
     offsets = offsets.select(
         *keys,
-        "_bucket",
+        "_range",
         *[F.coalesce(F.sum(f"_{c}_sum").over(earlier), F.lit(0)).alias(f"_{c}_offset") for c in sums],
         *[F.sum(f"_{c}_sum").over(in_group).alias(f"{c}_total") for c in sums],
     )
 
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
-    local = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_local") for c in sums])
-    joined = local.join(offsets, [*keys, "_bucket"])
+    inside = W.partitionBy(*keys, "_range").orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
+    local = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_local") for c in sums])
+    joined = local.join(offsets, [*keys, "_range"])
     for c in sums:
         joined = joined.withColumn(f"{c}_before", F.col(f"_{c}_offset") + F.col(f"_{c}_local"))
-    return joined.drop("_bucket", *[f"_{c}_offset" for c in sums], *[f"_{c}_local" for c in sums])
+    return joined.drop("_range", *[f"_{c}_offset" for c in sums], *[f"_{c}_local" for c in sums])
 
 
 def measures(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -108,8 +98,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: di
         placed.join(wanted, [*groups, "_segment"], "left_semi")
         .groupBy(*groups, "_segment", "value").agg(F.count("*").alias("_n"))
     )
-    inside = W.partitionBy(*groups, "_segment").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("_first", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    ranked = with_prefix_sums(counts, [*groups, "_segment"], "value", ["_n"]).withColumnRenamed("_n_before", "_first")
     picked = ranked.join(wanted, [*groups, "_segment"]).where(
         (F.col("_first") <= F.col("_rank")) & (F.col("_rank") < F.col("_first") + F.col("_n"))
     )
@@ -125,14 +114,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: di
 
 
 def rank_thresholds(
-    df: DataFrame, group: str, hash_key: str, cuts: dict[str, Column], prefix_chars: int = 4
+    df: DataFrame, group: str, hash_key: str, cuts: dict[str, Column], rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Per group, the value of ``hash_key`` (hexadecimal text) that ends the first ``k`` rows, for each cut.
 
     ``cuts`` maps an output name to ``k`` as an expression over ``total``. The leading characters of the hash
-    are the bucket; only the bucket in which a cut falls is sorted. Zero rows give an empty string.
+    are the bucket, as many of them as the number of rows asks for; only the bucket in which a cut falls is sorted.
+    Zero rows give an empty string.
     """
-    keyed = df.select(F.col(group).alias("_g"), F.col(hash_key).alias("_h"))
+    keyed = measured(df.select(F.col(group).alias("_g"), F.col(hash_key).alias("_h")), "hashes")
+    rows, prefix_chars = keyed.count(), 1
+    while rows > rows_per_range * 16**prefix_chars:
+        prefix_chars += 1
     keyed = keyed.withColumn("_bucket", F.substring("_h", 1, prefix_chars))
     hist = keyed.groupBy("_g", "_bucket").agg(F.count("*").alias("_n"))
     in_group = W.partitionBy("_g")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara import vocab
-from opinara.functions import calendar, scores, text
+from opinara.functions import calendar, scores
 
 # --- fixed values: unified column names and the raw column each one takes its value from -------------
 UNIFIED_COMMON = {
@@ -70,19 +70,24 @@ def union_all(*frames: DataFrame, rank_column: str | None = "source_rank") -> Da
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def row_digest(*columns: str) -> Column:
+    """Digest of a row's values at full precision, nulls included; equal digests mean equal rows."""
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns), options), 256))
+
+
 def keep_first(df: DataFrame, subset: list[str], order_by: list[str]) -> DataFrame:
-    """Keep the first row, by ``order_by``, of each set of rows equal on ``subset``.
+    """Keep the first row, by ``order_by`` with nulls first, of each set of rows equal on ``subset``.
 
-    ``order_by`` must identify a row. The groups are reduced to one narrow row each with map-side
-    combining, so a text repeated by a third of all rows costs no more than any other; the kept rows are
-    then found by an equi-join on their own unique order key.
+    Rows that are equal on both are repeats; one of them is kept. The groups are reduced to one narrow row each with
+    map-side combining, so a text repeated by a third of all rows costs no more than any other. The kept rows are
+    found by an equi-join on two digests, and repeats among them are dropped in the same partitioning.
     """
-    digest = F.unhex(F.sha2(F.to_json(F.struct(*subset)), 256))
-    single = len(order_by) == 1
-    order = F.col(order_by[0]) if single else F.struct(*order_by)
-    firsts = df.select(digest.alias("_digest"), order.alias("_order")).groupBy("_digest").agg(F.min("_order").alias("_order"))
-    winners = firsts.select(*([F.col("_order").alias(order_by[0])] if single else [F.col(f"_order.{c}").alias(c) for c in order_by]))
-    return df.join(winners, order_by, "left_semi")
+    order = F.struct(*order_by)
+    keyed = df.withColumns({"_digest": row_digest(*subset), "_order": row_digest(*order_by)})
+    firsts = keyed.groupBy("_digest").agg(F.min_by("_order", order).alias("_order"))
+    return keyed.join(firsts, ["_digest", "_order"], "left_semi").dropDuplicates(["_digest", "_order"]).drop("_digest", "_order")
 
 
 def alias_if_missing(df: DataFrame, aliases: dict[str, str] = DASHBOARD_ALIASES) -> DataFrame:
@@ -139,7 +144,8 @@ def column_catalogue(df: DataFrame) -> DataFrame:
 
 
 def type_histogram(df: DataFrame) -> DataFrame:
-    return column_catalogue(df).groupBy("type").agg(F.count("*").alias("n_columns"))
+    """Columns and present values per type."""
+    return column_catalogue(df).groupBy("type").agg(F.count("*").alias("n_columns"), F.sum("non_null").alias("non_null"))
 
 
 def to_long(df: DataFrame, ids: list[str], values: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -152,21 +158,7 @@ def transpose(df: DataFrame, index: str, index_values: list[str], measures: list
     return long.groupBy("metric").pivot(index, index_values).agg(F.first("value"))
 
 
-def feature_explanation(df: DataFrame, text_column: str, features: list[str]) -> DataFrame:
-    """The text, its feature values as ``name: value`` lines and the formulas applied to it."""
-    c = F.col(text_column)
-    preview = F.concat(F.lit("'"), F.substring(c, 1, 50), F.lit("...'"))
-    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), F.col(f).cast("string")) for f in features])
-    return df.select(
-        "*",
-        lines.alias("feature_lines"),
-        F.concat(F.lit("text_length = len("), preview, F.lit(") = "), text.char_length(c).cast("string")).alias("length_formula"),
-        F.concat(F.lit("word_count = len("), preview, F.lit(".split()) = "), text.word_count(c).cast("string")).alias("words_formula"),
-        F.when(
-            text.word_count(c) > 0,
-            F.concat(
-                F.lit("avg_word_length = sum(len(word) for word in text.split()) / word_count = "),
-                F.format_string("%.2f", F.bround(text.average_word_length(c), 2)),
-            ),
-        ).otherwise(F.lit("No words to calculate average")).alias("average_formula"),
-    )
+def feature_explanation(df: DataFrame, row_id: str, features: dict[str, Column]) -> DataFrame:
+    """One row per row and feature: ``(row_id, feature, value)``."""
+    named = df.select(row_id, *[c.cast("double").alias(n) for n, c in features.items()])
+    return to_long(named, [row_id], list(features), "feature")

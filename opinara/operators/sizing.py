@@ -17,12 +17,3 @@ def measured(df: DataFrame, name: str = "side") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on an input of fewer splits than cores; larger inputs stay as they are.
-
-    Fewer splits than cores means less than one split size per core, so what is shuffled is small.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

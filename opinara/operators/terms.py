@@ -5,21 +5,22 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import (
+    CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, StopWordsRemover, VectorAssembler,
+)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara import vocab
-from opinara.functions.text import WORD_CHARS
+from opinara.functions.text import WORD_CHARS, plain_letters, plain_letters_sql
 from opinara.operators.words import with_pairs
 
 MAX_VOCABULARY = 1_000_000
 
 
 def words(c, stop_words: list[str] = ()) -> Column:
-    """Runs of two or more word characters, lower case, without stop words."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(rf"([{WORD_CHARS}]{{2,}})"), F.lit(1))
+    """Runs of two or more word characters, lower case, without accents and stop words."""
+    found = F.regexp_extract_all(plain_letters(F.lower(c)), F.lit(rf"([{WORD_CHARS}]{{2,}})"), F.lit(1))
     return F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found
 
 
@@ -60,6 +61,11 @@ def vocabulary(
     return kept.select((F.row_number().over(W.orderBy("term")) - 1).alias("index"), "term", "n", "n_docs")
 
 
+def default_stop_words() -> list[str]:
+    """The English list that Spark ML gives its vectorisers; it is not the list that the cleaning profiles use."""
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 def idf(n_docs: int, document_count: int) -> float:
     return math.log((1 + n_docs) / (1 + document_count)) + 1
 
@@ -82,9 +88,12 @@ class TermModel:
 
 def _stages(text: str, vocab_rows: list, stop_words, ngrams: int, weights: list[float] | None, output: str) -> PipelineModel:
     pattern = rf"([{WORD_CHARS}]{{2,}})"
-    stop = ", ".join("'" + w.replace("'", "\\'") + "'" for w in stop_words)
-    escaped = pattern.replace("\\", "\\\\")
-    found = f"regexp_extract_all(lower(`{text}`), '{escaped}', 1)"
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    stop = ", ".join(map(quoted, stop_words))
+    found = f"regexp_extract_all({plain_letters_sql(f'lower(`{text}`)')}, {quoted(pattern)}, 1)"
     kept = f"filter({found}, w -> w not in ({stop}))" if stop else found
     stages = [SQLTransformer(statement=f"select *, coalesce({kept}, array()) as _words from __THIS__")]
     pairs = "zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> concat_ws(' ', a, b))"
@@ -106,8 +115,8 @@ def fit_terms(
     df: DataFrame, text: str, max_features: int = 5000, min_df: int = 5, max_df: float = 0.8,
     stop_words: list[str] | None = None, ngrams: int = 2, tfidf: bool = True, output: str = "term_features",
 ) -> TermModel:
-    """Fit a count or TF-IDF vectoriser on a table."""
-    stop_words = vocab.STOP_WORDS if stop_words is None else stop_words
+    """Fit a count or TF-IDF vectoriser on a table; the stop words default to those for vectorisers."""
+    stop_words = default_stop_words() if stop_words is None else stop_words
     vocab_rows = vocabulary(df, text, max_features, min_df, max_df, stop_words, ngrams).orderBy("index").collect()
     if not vocab_rows:
         raise ValueError("no terms left in the vocabulary")

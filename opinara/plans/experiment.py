@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as text_functions
 from opinara.operators import evaluate, models, splits, terms
+from opinara.operators.sizing import measured
 
 
 @dataclass
@@ -78,8 +79,17 @@ def score_texts(pipeline: PipelineModel, df: DataFrame, keep: list[str], labels:
     return rows.withColumn("confidence", F.greatest(*[F.col(f"prob_{x}") for x in labels]))
 
 
-def run(df: DataFrame, row_id: str, text: str, label: str, labels: list[str], settings: Settings | None = None) -> Outcome:
-    s = settings or Settings()
+@dataclass
+class Features:
+    """A split with its feature vectors, written once, and the vectoriser that made them."""
+
+    term_model: terms.TermModel
+    names: list[str]
+    train: DataFrame
+    test: DataFrame
+
+
+def features(df: DataFrame, row_id: str, text: str, label: str, s: Settings) -> Features:
     columns = df.select(row_id, text, label)
     if s.numeric:
         columns = columns.withColumns({
@@ -87,7 +97,7 @@ def run(df: DataFrame, row_id: str, text: str, label: str, labels: list[str], se
             "word_count": text_functions.word_count(text).cast("double"),
         })
         columns = terms.scale(columns, ["text_length", "word_count"])
-    marked = splits.stratified_split(columns, row_id, label, {"test": s.test_size}, "train", s.seed)
+    marked = measured(splits.stratified_split(columns, row_id, label, {"test": s.test_size}, "train", s.seed), "split")
     is_train = F.col("split") == "train"
     fit_rows = marked if s.fit_scope == "all" else marked.where(is_train)
     model = terms.fit_terms(fit_rows, text, s.max_features, s.min_df, s.max_df, None, s.ngrams, s.tfidf)
@@ -95,16 +105,34 @@ def run(df: DataFrame, row_id: str, text: str, label: str, labels: list[str], se
     if s.numeric:
         inputs += ["text_length_scaled", "word_count_scaled"]
         names += ["text_length", "word_count"]
-    featured = terms.assemble(model.transform(marked), inputs)
-    train, test = featured.where(is_train), featured.where(~is_train)
-    fitted = models.fit(train, s.kind, labels, label, {**s.params, "seed": s.seed})
-    predictions = models.predict(fitted, test, [row_id, F.col(label).alias("actual")])
-    return Outcome(fitted, model, predictions, train, test, names, labels)
+    featured = measured(terms.assemble(model.transform(marked), inputs).select(row_id, label, "split", "features"), "features")
+    return Features(model, names, featured.where(is_train), featured.where(~is_train))
+
+
+def run(
+    df: DataFrame, row_id: str, text: str, label: str, labels: list[str], settings: Settings | None = None,
+    made: Features | None = None,
+) -> Outcome:
+    """Train and predict; ``made`` passes features that an earlier run with the same vectoriser settings has written."""
+    s = settings or Settings()
+    made = made or features(df, row_id, text, label, s)
+    fitted = models.fit(made.train, s.kind, labels, label, {**s.params, "seed": s.seed})
+    predictions = measured(models.predict(fitted, made.test, [row_id, F.col(label).alias("actual")]), "predictions")
+    return Outcome(fitted, made.term_model, predictions, made.train, made.test, made.names, labels)
 
 
 def pick_best(df: DataFrame, row_id: str, text: str, label: str, labels: list[str], candidates: dict[str, Settings]) -> tuple[str, Outcome, DataFrame]:
-    """Run every candidate and keep the one with the best accuracy; also returns the comparison."""
-    outcomes = {name: run(df, row_id, text, label, labels, s) for name, s in candidates.items()}
+    """Run every candidate and keep the one with the best accuracy; also returns the comparison.
+
+    Candidates that differ only in the classifier share one split and one vectoriser.
+    """
+    made: dict[str, Features] = {}
+    outcomes = {}
+    for name, s in candidates.items():
+        shared = repr(replace(s, kind="", params={}))
+        if shared not in made:
+            made[shared] = features(df, row_id, text, label, s)
+        outcomes[name] = run(df, row_id, text, label, labels, s, made[shared])
     table = evaluate.compare({name: o.scores() for name, o in outcomes.items()})
     best = evaluate.best_model(table).first()["model"]
     return best, outcomes[best], table

@@ -23,14 +23,14 @@ def _by_rows(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("e01_value_counts", f"WITH {t.COMMENTS} SELECT label, count(*) AS n FROM comments GROUP BY label")
+@query("e01_value_counts", f"WITH {t.LABELLED} SELECT label, count(*) AS n FROM comments GROUP BY label")
 def e01(spark, sf):
-    return a.value_counts(t.comments(spark, sf), "label")
+    return a.value_counts(t.labelled(spark, sf), "label")
 
 
-@query("e02_value_shares", f"WITH {t.COMMENTS} SELECT label, count(*) AS n, {_r('count(*) * 100.0 / sum(count(*)) OVER ()')} AS pct FROM comments GROUP BY label")
+@query("e02_value_shares", f"WITH {t.LABELLED} SELECT label, count(*) AS n, {_r('count(*) * 100.0 / sum(count(*)) OVER ()')} AS pct FROM comments GROUP BY label")
 def e02(spark, sf):
-    return rounded(a.value_shares(t.comments(spark, sf), "label"))
+    return rounded(a.value_shares(t.labelled(spark, sf), "label"))
 
 
 @query("e03_counts_by_year", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
@@ -61,18 +61,18 @@ def e07(spark, sf):
     return rounded(a.group_means(t.features(spark, sf), ["label"], ["engagement_score"])).orderBy("mean_engagement_score", "label")
 
 
-@query("e08_class_share_by_source", f"""WITH {t.COMMENTS} SELECT source, {', '.join(
+@query("e08_class_share_by_source", f"""WITH {t.LABELLED} SELECT source, {', '.join(
     _r(f"count(*) FILTER (label = '{x}') * 100.0 / count(*)") + f' AS {x}' for x in t.LABELS)}
   FROM (SELECT *, {t.s_basic('text')} AS text_clean FROM comments) WHERE {t.s_words('text_clean')} > 0 GROUP BY source""")
 def e08(spark, sf):
     """Cleaned, non-empty comments: share of every class by source."""
-    c = relevance.drop_empty_text(t.comments(spark, sf).withColumn("text_clean", text.clean_basic("text")))
+    c = relevance.drop_empty_text(t.labelled(spark, sf).withColumn("text_clean", text.clean_basic("text")))
     return rounded(a.crosstab(c, "source", "label", t.LABELS))
 
 
-@query("e08_crosstab_counts", f"WITH {t.COMMENTS} SELECT community, {', '.join(f'count(*) FILTER (label = {t.q(x)}) AS {x}' for x in t.LABELS)} FROM comments GROUP BY community")
+@query("e08_crosstab_counts", f"WITH {t.LABELLED} SELECT community, {', '.join(f'count(*) FILTER (label = {t.q(x)}) AS {x}' for x in t.LABELS)} FROM comments GROUP BY community")
 def e08_counts(spark, sf):
-    return a.crosstab(t.comments(spark, sf), "community", "label", t.LABELS, percent=False)
+    return a.crosstab(t.labelled(spark, sf), "community", "label", t.LABELS, percent=False)
 
 
 def _summary_sql(source: str, columns: list[str], quartiles: bool = False, total: bool = True) -> str:
@@ -267,11 +267,11 @@ _SPLIT_SQL = """split AS (SELECT doc_id, label, CASE WHEN rn <= round(total * 0.
     SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':42')) AS rn, count(*) OVER (PARTITION BY label) AS total FROM comments))"""
 
 
-@query("e29_split_balance", f"WITH {t.COMMENTS}, {_SPLIT_SQL} SELECT split, label, count(*) AS n, {_r('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY split)')} AS pct FROM split GROUP BY split, label")
+@query("e29_split_balance", f"WITH {t.LABELLED}, {_SPLIT_SQL} SELECT split, label, count(*) AS n, {_r('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY split)')} AS pct FROM split GROUP BY split, label")
 def e29(spark, sf):
     from opinara.operators.splits import stratified_split
 
-    marked = stratified_split(t.comments(spark, sf).select("doc_id", "label"), "doc_id", "label", {"test": 0.2})
+    marked = stratified_split(t.labelled(spark, sf).select("doc_id", "label"), "doc_id", "label", {"test": 0.2})
     return rounded(a.split_balance(marked, "label", "split"))
 
 

@@ -9,7 +9,7 @@ from opinara.operators import splits, terms
 from opinara.queries import tables as t
 from opinara.queries.registry import query, rounded
 
-_WORDS = f"list_filter(regexp_extract_all(lower(text), '[{t.W}]{{2,}}'), lambda w: w NOT IN ({t.in_list(vocab.STOP_WORDS)}))"
+_WORDS = f"list_filter(regexp_extract_all(strip_accents(lower(text)), '[{t.W}]{{2,}}'), lambda w: w NOT IN ({t.in_list(vocab.STOP_WORDS)}))"
 _TERMS = f"""WITH {t.COMMENTS}, w AS (SELECT doc_id, {_WORDS} AS words FROM comments),
   pairs AS (SELECT doc_id, list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS terms FROM w),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM pairs) GROUP BY 1, 2),
@@ -81,31 +81,31 @@ def k07(spark, sf):
     return rounded(stacked.select("doc_id", size.alias("size"), rest.alias("term_total"), F.get(values, size - 1).alias("length_scaled")))
 
 
-@query("k08_label_encoding", f"WITH {t.COMMENTS} SELECT doc_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_index FROM comments")
+@query("k08_label_encoding", f"WITH {t.LABELLED} SELECT doc_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_index FROM comments")
 def k08(spark, sf):
-    return splits.class_index(t.comments(spark, sf).select("doc_id", "label"), "label").drop("label")
+    return splits.class_index(t.labelled(spark, sf).select("doc_id", "label"), "label").drop("label")
 
 
 def _split_sql(cases: str) -> str:
-    return f"""WITH {t.COMMENTS} SELECT doc_id, label, CASE {cases} ELSE 'train' END AS split FROM (
+    return f"""WITH {t.LABELLED} SELECT doc_id, label, CASE {cases} ELSE 'train' END AS split FROM (
       SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(doc_id || ':42')) AS rn, count(*) OVER (PARTITION BY label) AS total FROM comments)"""
 
 
 @query("k09_stratified_split", _split_sql("WHEN rn <= round(total * 0.2::DOUBLE) THEN 'test'"))
 def k09(spark, sf):
-    return splits.stratified_split(t.comments(spark, sf).select("doc_id", "label"), "doc_id", "label", {"test": 0.2})
+    return splits.stratified_split(t.labelled(spark, sf).select("doc_id", "label"), "doc_id", "label", {"test": 0.2})
 
 
 @query("k10_three_way_split", _split_sql("WHEN rn <= round(total * 0.15::DOUBLE) THEN 'test' WHEN rn <= round(total * 0.3::DOUBLE) THEN 'validation'"))
 def k10(spark, sf):
-    return splits.stratified_split(t.comments(spark, sf).select("doc_id", "label"), "doc_id", "label", {"test": 0.15, "validation": 0.15})
+    return splits.stratified_split(t.labelled(spark, sf).select("doc_id", "label"), "doc_id", "label", {"test": 0.15, "validation": 0.15})
 
 
-@query("k11_class_weights", f"WITH {t.COMMENTS} SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM comments GROUP BY label")
+@query("k11_class_weights", f"WITH {t.LABELLED} SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM comments GROUP BY label")
 def k11(spark, sf):
-    return rounded(splits.class_weights(t.comments(spark, sf), "label"))
+    return rounded(splits.class_weights(t.labelled(spark, sf), "label"))
 
 
-@query("k11_row_weights", f"WITH {t.COMMENTS} SELECT doc_id, round(count(*) OVER () / ((SELECT count(DISTINCT label) FROM comments) * count(*) OVER (PARTITION BY label)), 6) AS class_weight FROM comments")
+@query("k11_row_weights", f"WITH {t.LABELLED} SELECT doc_id, round(count(*) OVER () / ((SELECT count(DISTINCT label) FROM comments) * count(*) OVER (PARTITION BY label)), 6) AS class_weight FROM comments")
 def k11_rows(spark, sf):
-    return rounded(splits.with_class_weight(t.comments(spark, sf).select("doc_id", "label"), "label").drop("label"))
+    return rounded(splits.with_class_weight(t.labelled(spark, sf).select("doc_id", "label"), "label").drop("label"))

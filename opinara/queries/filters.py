@@ -107,10 +107,10 @@ def c13(spark, sf):
     return relevance.removed_report(e)
 
 
-@query("c14_class_masks", f"""WITH {t.COMMENTS} SELECT count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (source = 'en') AS english,
+@query("c14_class_masks", f"""WITH {t.LABELLED} SELECT count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (source = 'en') AS english,
   round(avg(likes) FILTER (label = 'negative'), 6) AS likes_negative FROM comments""")
 def c14(spark, sf):
-    return rounded(t.comments(spark, sf).agg(
+    return rounded(t.labelled(spark, sf).agg(
         F.count_if(F.col("label") == "positive").alias("positive"), F.count_if(F.col("source") == "en").alias("english"),
         F.avg(F.when(F.col("label") == "negative", F.col("likes"))).alias("likes_negative")))
 
@@ -184,8 +184,8 @@ def d06(spark, sf):
     return rounded(hits.groupBy("token").agg(F.count("*").alias("n"), F.sum("valence").alias("total")), 4)
 
 
-@query("d07_label_decode", f"WITH {t.COMMENTS} SELECT doc_id, CASE label WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS label_index, label AS decoded FROM comments")
+@query("d07_label_decode", f"WITH {t.LABELLED} SELECT doc_id, CASE label WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS label_index, label AS decoded FROM comments")
 def d07(spark, sf):
     from opinara.operators.splits import class_index
 
-    return joins.decode(class_index(t.comments(spark, sf).select("doc_id", "label"), "label"), "label_index", t.LABELS, "decoded").drop("label")
+    return joins.decode(class_index(t.labelled(spark, sf).select("doc_id", "label"), "label"), "label_index", t.LABELS, "decoded").drop("label")

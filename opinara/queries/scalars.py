@@ -152,8 +152,8 @@ _select("j02_subjectivity", {"score": f"round({t.s_subjectivity('text', '((doc_i
         lambda c: {"score": scores.subjectivity(c, ((F.col("doc_id") * 37) % 201 - 100) / F.lit(100.0))}, 6)
 
 
-@query("o05_percent_text", f"WITH {t.COMMENTS} SELECT label, printf('%.1f%%', round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1)) AS shown FROM comments GROUP BY label")
+@query("o05_percent_text", f"WITH {t.LABELLED} SELECT label, printf('%.1f%%', round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1)) AS shown FROM comments GROUP BY label")
 def o05(spark, sf):
     from opinara.operators.aggregates import value_shares
 
-    return value_shares(t.comments(spark, sf), "label").select("label", F.format_string("%.1f%%", F.bround("pct", 1)).alias("shown"))
+    return value_shares(t.labelled(spark, sf), "label").select("label", F.format_string("%.1f%%", F.bround("pct", 1)).alias("shown"))

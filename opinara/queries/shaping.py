@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinara import vocab
-from opinara.functions import scores
+from opinara.functions import scores, text
 from opinara.operators import shaping
 from opinara.queries import tables as t
 from opinara.queries.registry import dates_as_text, query, rounded
@@ -78,7 +78,8 @@ def b10(spark, sf):
     return d.select(*shaping.numeric_columns(d), size.cast("bigint").alias("text_size"))
 
 
-@query("b11_type_histogram", "SELECT * FROM (VALUES ('bigint', 2), ('string', 3)) v(type, n_columns) WHERE (SELECT count(*) FROM documents) > 0")
+@query("b11_type_histogram", "SELECT type, count(*) AS n_columns, CAST(sum(non_null) AS BIGINT) AS non_null FROM (" + " UNION ALL ".join(
+    f"SELECT '{k}' AS type, count({c}) AS non_null FROM documents" for c, k in _DOC_TYPES.items()) + ") GROUP BY type")
 def b11(spark, sf):
     return shaping.type_histogram(t.table(spark, sf, "documents"))
 
@@ -88,15 +89,14 @@ def b12(spark, sf):
     return shaping.nth_row(t.table(spark, sf, "documents"), 3, ["doc_id"]).select("doc_id", "text", "lang")
 
 
-@query("b13_feature_explanation", f"""WITH {t.FEATURES} SELECT doc_id,
-  'text_length: ' || text_length || chr(10) || 'word_count: ' || word_count AS feature_lines,
-  'text_length = len(''' || left(text, 50) || '...'') = ' || length(text) AS length_formula,
-  'word_count = len(''' || left(text, 50) || '...''.split()) = ' || {t.s_words('text')} AS words_formula,
-  CASE WHEN {t.s_words('text')} > 0 THEN 'avg_word_length = sum(len(word) for word in text.split()) / word_count = ' || printf('%.2f', round_even({t.s_average('text')}, 2))
-    ELSE 'No words to calculate average' END AS average_formula FROM features""")
+@query("b13_feature_explanation", f"""WITH {t.FEATURES} """ + " UNION ALL ".join(
+    f"SELECT doc_id, '{n}' AS feature, round(CAST({c} AS DOUBLE), 6) AS value FROM features" for n, c in (
+        ("characters", "length(text)"), ("words", t.s_words("text")), ("average_word_length", t.s_average("text")), ("engagement", "engagement_score"))))
 def b13(spark, sf):
-    return shaping.feature_explanation(t.features(spark, sf), "text", ["text_length", "word_count"]).select(
-        "doc_id", "feature_lines", "length_formula", "words_formula", "average_formula")
+    c = F.col("text")
+    return rounded(shaping.feature_explanation(t.features(spark, sf), "doc_id", {
+        "characters": text.char_length(c), "words": text.word_count(c), "average_word_length": text.average_word_length(c),
+        "engagement": F.col("engagement_score")}))
 
 
 _MEANS = "SELECT lang, avg(n_chars) AS mean_chars, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY lang"

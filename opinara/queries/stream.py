@@ -1,11 +1,13 @@
-"""Queries that read the events as a file stream."""
+"""Queries that read tables as file streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opinara.functions import text
 from opinara.queries import tables as t
 from opinara.queries.registry import query
+from opinara.session import scratch_path
 from opinara.streaming import ingest
 
 
@@ -20,5 +22,23 @@ def n01(spark, sf):
     """Rows per day, type and label, from a stream with repeats of an event dropped."""
     first = ingest.first_seen(_stream(spark, sf), ["event_id"], "ts", "2 days")
     counts = ingest.daily_counts(first, "ts", ["event_type", "sentiment_label"])
-    done = ingest.run_available(counts, ["day", "event_type", "sentiment_label"])
-    return done.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    out, state = scratch_path(spark, "daily-counts"), scratch_path(spark, "daily-counts-state")
+    done = ingest.run_available(counts, ["day", "event_type", "sentiment_label"], out, state)
+    return done.counts.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("n01_relevant_turns", f"""WITH c AS (SELECT conv_id, turn, role, {t.s_platform_b('text')} AS c FROM conversations)
+  SELECT role, count(*) AS n FROM c WHERE {t.s_words('c')} BETWEEN 10 AND 300 GROUP BY role""")
+def n01_turns(spark, sf):
+    """Turns that pass the length filter of platform B, cleaned as they arrive, counted by role in two runs."""
+    schema = t.table(spark, sf, "conversations").schema
+    out, state = scratch_path(spark, "turns"), scratch_path(spark, "turns-state")
+    folder = scratch_path(spark, "turns-input")
+    rows = t.table(spark, sf, "conversations")
+    for part in (0, 1):
+        rows.where(F.col("conv_id") % 2 == part).write.mode("append").parquet(folder)
+        stream = ingest.open_stream(spark, folder, schema)
+        cleaned = stream.withColumn("c", text.clean_platform_b("text"))
+        kept = cleaned.where(text.word_count("c", collapsed=True).between(10, 300))
+        done = ingest.run_available(kept.groupBy("role").agg(F.count("*").alias("n")), ["role"], out, state)
+    return done.counts

@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from opinara import vocab
 from opinara.functions import keywords, scores, text
-from opinara.operators.sizing import spread
 
 LABELS = vocab.LABELS
-# Tables of long texts: row functions are the cost, so small files of them are spread over all cores.
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
 # Words that occur in the given texts, standing in for topic words.
 AI_WORDS = ["the", "der", "la"]
 OPINION_WORDS = ["that", "que", "und"]
@@ -43,22 +40,31 @@ SCHEMAS = {
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A given table under its explicit schema."""
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def comments(spark: SparkSession, sf: str) -> DataFrame:
-    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 0, "neutral").otherwise("positive")
+def comments(spark: SparkSession, sf: str, labelled_only: bool = False) -> DataFrame:
+    """Every document as a comment. One without a label gets it from its score, or is left out on request."""
+    compound = ((F.col("doc_id") * 37) % 201 - 100) / F.lit(100.0)
+    label = (
+        F.when(F.col("toxic").isNull(), scores.sentiment_label(compound))
+        .when(F.col("toxic") == 1, "negative").when(F.col("quality") == 0, "neutral").otherwise("positive")
+    )
     return (
-        table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+        table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "inner" if labelled_only else "left")
         .select(
             "doc_id", "text", F.col("lang").alias("source"), F.col("source").alias("community"),
             label.alias("label"), (F.col("doc_id") % 50).alias("likes"), (F.col("doc_id") % 7).alias("replies"),
-            (((F.col("doc_id") * 37) % 201 - 100) / F.lit(100.0)).alias("compound"),
+            compound.alias("compound"),
         )
     )
 
 
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments whose label was given."""
+    return comments(spark, sf, labelled_only=True)
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with a score in place of their value."""
     compound = (F.col("value") - 50) / 500
@@ -88,7 +94,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Labels with a wrong prediction for every fifth id."""
     moved = F.when(F.col("label") == "negative", "neutral").when(F.col("label") == "neutral", "positive").otherwise("negative")
-    base = comments(spark, sf).select(
+    base = labelled(spark, sf).select(
         "doc_id", F.col("label").alias("actual"),
         F.when(F.col("doc_id") % 5 == 0, moved).otherwise(F.col("label")).alias("predicted"),
         (0.5 + (F.col("doc_id") % 40) / F.lit(100.0)).alias("p"),
@@ -266,11 +272,16 @@ def s_subjectivity(c: str, compound: str) -> str:
     return f"least({found} + abs({compound}) * 0.5::DOUBLE, 1.0::DOUBLE)"
 
 
-COMMENTS = """comments AS (
+def _comments(join: str) -> str:
+    compound = "((d.doc_id * 37) % 201 - 100) / 100.0::DOUBLE"
+    return f"""comments AS (
   SELECT d.doc_id, d.text, d.lang AS source, d.source AS community,
-    CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 0 THEN 'neutral' ELSE 'positive' END AS label,
-    d.doc_id % 50 AS likes, d.doc_id % 7 AS replies, ((d.doc_id * 37) % 201 - 100) / 100.0::DOUBLE AS compound
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+    CASE WHEN l.toxic IS NULL THEN {s_label(compound)} WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 0 THEN 'neutral' ELSE 'positive' END AS label,
+    d.doc_id % 50 AS likes, d.doc_id % 7 AS replies, {compound} AS compound
+  FROM documents d {join} JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+COMMENTS, LABELLED = _comments("LEFT"), _comments("INNER")
 
 EVENTS = f"""ev AS (SELECT *, {s_label('compound')} AS label, {s_flags('compound')}
   FROM (SELECT *, (value - 50) / 500 AS compound FROM events))"""
@@ -285,7 +296,7 @@ FEATURES = f"""{COMMENTS}, features AS (
     {s_any('text', vocab.SOCIETAL_KEYWORDS_WIDE)} AS contains_societal
   FROM (SELECT *, {s_basic('text')} AS text_clean FROM comments))"""
 
-PREDICTIONS = f"""{COMMENTS}, predicted_only AS (
+PREDICTIONS = f"""{LABELLED}, predicted_only AS (
   SELECT doc_id, label AS actual, CASE WHEN doc_id % 5 <> 0 THEN label WHEN label = 'negative' THEN 'neutral'
     WHEN label = 'neutral' THEN 'positive' ELSE 'negative' END AS predicted,
     0.5::DOUBLE + (doc_id % 40) / 100.0::DOUBLE AS p FROM comments),

@@ -12,9 +12,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Lower and upper case from the JVM, several times faster on text that is not pure ASCII.
-    "spark.sql.icu.caseMappings.enabled": "false",
 }
+#: For a session builder: lower and upper case from the JVM, several times faster on text that is not pure ASCII.
+BUILD_SETTINGS = {"spark.sql.icu.caseMappings.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.functions import scores, text
-from opinara.session import scratch_path
 
 
 def open_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet", pattern: str | None = None,
@@ -40,23 +41,33 @@ def daily_counts(stream: DataFrame, ts: str, keys: list[str]) -> DataFrame:
     )
 
 
-def run_available(counts: DataFrame, keys: list[str], name: str = "daily-counts") -> DataFrame:
+@dataclass
+class Progress:
+    """The latest count of every key, and how many rows of this run came too late to be counted."""
+
+    counts: DataFrame
+    late_rows: int
+
+
+def run_available(counts: DataFrame, keys: list[str], out: str, state: str) -> Progress:
     """Process what is there and return the latest count of every key.
 
-    Each micro-batch writes its changed rows to its own folder, which a repeated batch replaces, so a restart
-    neither loses nor doubles a count.
+    ``out`` and ``state`` are folders all executors share. A later call with the same two goes on where the last one
+    ended, also one that was broken off: each micro-batch writes its changed rows to its own folder, which a repeated
+    batch replaces, so a restart neither loses nor doubles a count.
     """
     spark = counts.sparkSession
-    out = scratch_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     query = (
-        counts.writeStream.outputMode("update").option("checkpointLocation", scratch_path(spark, f"{name}-state"))
+        counts.writeStream.outputMode("update").option("checkpointLocation", state)
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
+    # A counting operator sees a late row once; the operators before it may report it too.
+    late = sum(max((s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), default=0) for p in query.recentProgress)
     written = spark.read.schema(T.StructType([*counts.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
     values = [c for c in counts.columns if c not in keys]
-    return written.groupBy(*keys).agg(*[F.max_by(v, "batch_id").alias(v) for v in values])
+    return Progress(written.groupBy(*keys).agg(*[F.max_by(v, "batch_id").alias(v) for v in values]), late)

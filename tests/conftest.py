@@ -1,14 +1,14 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from opinara.session import configure
+from opinara.session import BUILD_SETTINGS, configure
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("opinara-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        .config(map=BUILD_SETTINGS).config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -111,3 +111,22 @@ def test_weighted_loss(spark):
     a, b = -math.log(0.5), -math.log(0.75)
     assert evaluate.cross_entropy(p, probs).first()[0] == pytest.approx((a + b) / 2)
     assert evaluate.cross_entropy(p, probs, weight="w").first()[0] == pytest.approx((a + 3 * b) / 4)
+
+
+def test_depth_and_labels_are_checked(spark, texts):
+    for depth in (None, 50):
+        with pytest.raises(ValueError):
+            run(texts, "random_forest", params={"max_depth": depth, "n_estimators": 2})
+    with pytest.raises(Exception, match="label not listed"):
+        experiment.run(texts, "id", "text", "label", LABELS[:2], experiment.Settings(max_features=50, min_df=1, max_df=1.0))
+
+
+def test_accents_are_stripped_from_terms(spark):
+    docs = spark.createDataFrame([(0, "Café naïve cafe ÉTÉ"), (1, "cafe\u0301 plain")], "id long, text string")
+    table = terms.vocabulary(docs, "text", 20, ngrams=1)
+    assert {(r["term"], r["n"]) for r in table.collect()} == {("cafe", 3), ("naive", 1), ("ete", 1), ("plain", 1)}
+    model = terms.fit_terms(docs, "text", 20, 1, 1.0, ["a\\b", "it's", "plain"], 1, tfidf=False)
+    assert set(model.terms) == {"cafe", "naive", "ete"}
+    counts = {(r["id"], model.terms[r["index"]]): r["weight"] for r in terms.sparse_entries(model.transform(docs), "id", model.output).collect()}
+    assert counts == {(0, "cafe"): 2.0, (0, "naive"): 1.0, (0, "ete"): 1.0, (1, "cafe"): 1.0}
+    assert {"the", "of"} <= set(terms.default_stop_words())

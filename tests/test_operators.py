@@ -91,6 +91,32 @@ def test_cumulative_cap_keeps_the_crossing_row(spark):
     assert [r["o"] for r in limits.cap_cumulative(df, "o", "n", 1000).orderBy("o").collect()] == [1, 2]
 
 
+def test_cumulative_cap_with_fractions_and_ranges(spark, monkeypatch):
+    df = spark.range(100).select("id", F.lit(0.125).alias("n"))
+    assert limits.cap_cumulative(df, "id", "n", 5).count() == 40
+    summed = prefix.with_prefix_sums(df.withColumn("k", F.col("id") % 2), ["k"], "id", ["n"], rows_per_range=7)
+    assert all(r["n_before"] == r["id"] // 2 * 0.125 and r["n_total"] == 6.25 for r in summed.collect())
+
+
+def test_keep_first_with_null_and_tied_order(spark):
+    df = rows(spark, [("a", None, 1), ("a", 2, 2), ("b", 3, 3), ("b", 3, 4), (None, None, 5), (None, None, 6)], "t string, o int, i int")
+    out = shaping.keep_first(df, ["t"], ["o"]).collect()
+    assert sorted((r["t"] or "", r["o"] or 0) for r in out) == [("", 0), ("a", 0), ("b", 3)]
+
+
+def test_rows_a_microsecond_apart_differ(spark):
+    df = rows(spark, [("2024-01-01 00:00:00.000001",), ("2024-01-01 00:00:00.000002",)], "s string").select(
+        F.col("s").cast("timestamp").alias("a"), F.col("s").cast("timestamp_ntz").alias("b"), F.lit(1).alias("i"))
+    assert aggregates.duplicate_rows(df).first()[0] == 0
+    for c in ("a", "b"):
+        assert shaping.keep_first(df, [c], ["i"]).count() == 2
+
+
+def test_metadata_is_one_row_per_key(spark):
+    comments, posts = rows(spark, [("p", 1), ("p", 2)], "k string, i int"), rows(spark, [("p", "x"), ("p", "y")], "k string, title string")
+    assert sorted(tuple(r) for r in joins.with_metadata(comments, posts, "k").collect()) == [("p", 1, "y"), ("p", 2, "y")]
+
+
 def test_caps_are_pruned_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     capped = limits.cap_per_group(df, ["k"], ["id"], 2)
