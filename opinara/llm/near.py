@@ -4,8 +4,10 @@ A document's set holds its distinct shingles of ``SHINGLE`` words. One hash of e
 signature; a bin that stays empty takes the value of the first filled bin in a fixed random order of its own (optimal
 densification). Bands of bins make buckets. Only one document per distinct word sequence goes on. In each bucket all
 members are paired with the smallest one: a star, so pairs grow with members, not with their square. Pairs are
-confirmed on the full sets, links are closed to components, and buckets that still hold several components get the
-pairs between components checked, so that a star does not lose a link.
+confirmed on the full sets and links are closed to components. Two members of a bucket may be similar although neither
+is to the smallest, so the members paired with one centre are compared once more where they still lie in several
+components: those outside the centre's largest component against all, in blocks of bounded size from which only links
+come out.
 
 With ``BANDS`` bands of ``ROWS`` bins, a pair of similarity 0.8 shares no bucket once in two million times; a more
 similar one more rarely.
@@ -32,12 +34,10 @@ from opinara.llm.hashing import BASE, U, Rolling, mix
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-#: Bins that leave one bit each for a quick look at pairs between components.
-BITS = 256
-#: Differing bits that a pair of similarity 0.8 exceeds less than once in 10^10, when both sets fill the bins.
-MOST_APART, FILLED = 60, 1024
 #: Members of a star that are checked in one place; larger stars get copies of their centre.
 STAR_PART = 500
+#: Documents of each side of a block in which components are compared.
+BLOCK = 250
 #: Words hashed at a time.
 STRETCH = 500_000
 
@@ -98,14 +98,9 @@ def bands(values: np.ndarray) -> np.ndarray:
     return mix(rows + np.arange(BANDS, dtype=U) * U(BASE)).view(np.int64)
 
 
-def bits(values: np.ndarray) -> np.ndarray:
-    return np.packbits((mix(values[:BITS] + U(1)) & U(1)).astype(np.uint8)).view(">i8").astype(np.int64)
-
-
 def signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, bits) of every document; no bands where there are no words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
-                        ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, digest, bands) of every document; no bands where there are no words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def task(batches):
         for batch in batches:
@@ -115,15 +110,14 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                 digest = blake2b(b" ".join(tokens), digest_size=16).digest()
                 if tokens:
                     hashes = shingle_hashes(tokens, size)
-                    values = signature(hashes)
-                    rows.append((doc, len(hashes), digest, bands(values), bits(values)))
+                    rows.append((doc, len(hashes), digest, bands(signature(hashes))))
                 else:
-                    rows.append((doc, 0, digest, None, None))
+                    rows.append((doc, 0, digest, None))
             columns = zip(*rows) if rows else [[]] * len(schema)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(
-        task, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>")
+        task, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, similarity: int) -> DataFrame:
@@ -146,8 +140,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: i
                     known, mine = ta, shingle_set(words(ta), size)
                 other = shingle_set(words(tb.as_py()), size)
                 if 100 * min(len(mine), len(other)) >= similarity * max(len(mine), len(other)):
-                    common = len(mine & other)
-                    if common and 100 * common >= similarity * (len(mine) + len(other) - common):
+                    if similar(len(mine), len(other), len(mine & other), similarity):
                         links[0].append(a.as_py())
                         links[1].append(b.as_py())
             yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
@@ -155,6 +148,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: i
     return both.mapInArrow(task, "a bigint, b bigint").distinct()
 
 
+def similar(first: int, second: int, common: int, similarity: int) -> bool:
+    return common > 0 and 100 * common >= similarity * (first + second - common)
+
+
+def compare(rows: list[tuple], size: int, similarity: int) -> list[tuple[int, int]]:
+    """Links between components among the documents of one block, as few as join what is similar.
+
+    ``rows``: (node, component, role, text). Role 0 is compared with all of the block, role 1 only with role 0. The
+    overlaps of one document with all others are counted at once, through lists of the documents that hold a shingle.
+    """
+    ids: dict[tuple, int] = {}
+    sets = [np.array([ids.setdefault(s, len(ids)) for s in shingle_set(words(r[3]), size)], dtype=np.int64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    holders = np.repeat(np.arange(len(rows)), sizes)
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles, kind="stable")
+    holders, low = holders[order], np.searchsorted(shingles[order], np.arange(len(ids) + 1))
+    group = {r[1]: r[1] for r in rows}
+
+    def root(c):
+        while group[c] != c:
+            c = group[c]
+        return c
+
+    links = []
+    for i, row in enumerate(rows):
+        if row[2] or not sizes[i]:
+            continue
+        common = np.bincount(np.concatenate([holders[low[s]:low[s + 1]] for s in sets[i]]), minlength=len(rows))
+        near = np.flatnonzero((common > 0) & (100 * common >= similarity * (sizes[i] + sizes - common)))
+        for j in near:
+            mine, other = root(row[1]), root(rows[j][1])
+            if mine != other:
+                group[mine] = other
+                links.append((row[0], rows[j][0]))
+    return links
+
+
+def across(tested: DataFrame, placed: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, similarity: int) -> DataFrame:
+    """Links (a, b) that the stars have missed: between components of the members of one centre.
+
+    ``tested``: the pairs (a, b) of centres and members, ``placed``: (node, component). The largest component of a
+    centre is dealt to parts, and so is the rest; each part of the rest meets every part.
+    """
+    stars = tested.select("a", F.col("b").alias("node")).unionByName(tested.select("a", F.col("a").alias("node"))).distinct()
+    members = measured(stars.join(placed, "node"), "members")
+    sizes = members.groupBy("a", "component").agg(F.count("*").alias("n")).groupBy("a").agg(
+        F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.max("n").alias("_m"), F.sum("n").alias("_all"))
+    parts = sizes.where(F.col("_all") > F.col("_m")).select(
+        "a", "main", (F.col("_all") <= BLOCK).alias("one"), F.floor((F.col("_m") - 1) / BLOCK + 1).cast("int").alias("pm"),
+        F.floor((F.col("_all") - F.col("_m") - 1) / BLOCK + 1).cast("int").alias("ps"))
+    met = members.join(measured(parts, "parts"), "a").withColumn("_rest", F.col("component") != F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("_rest"), F.col("ps")).otherwise(F.col("pm"))).cast("int")
+    met = met.withColumn("_own", own)
+
+    def place(i, j, role):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+
+    def others(upto, make):
+        return F.transform(F.sequence(F.lit(0), upto - 1), make)
+
+    # Column j: parts of the rest, looking; row i: parts of the largest component, then parts of the rest.
+    looked_at = F.filter(others(F.col("ps"), lambda j: place(F.col("pm") + F.col("_own"), j, 1)), lambda p: p["j"] < F.col("_own"))
+    looking = others(F.col("pm"), lambda i: place(i, F.col("_own"), 0))
+    blocks = (
+        F.when(F.col("one"), F.array(place(F.lit(0), F.lit(0), 0)))
+        .when(~F.col("_rest"), others(F.col("ps"), lambda j: place(F.col("_own"), j, 1)))
+        .otherwise(F.concat(looking, looked_at, others(F.col("ps") - F.col("_own"), lambda k: place(F.col("pm") + F.col("_own") + k, F.col("_own"), 0))))
+    )
+    dealt = met.select("a", "node", "component", F.explode(blocks).alias("_b")).select("a", "node", "component", "_b.*")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text"))
+    full = dealt.join(texts, "node").select("a", "i", "j", "node", "component", "role", "_text")
+
+    def task(table):
+        rows = list(zip(*(table[c].to_pylist() for c in ("node", "component", "role", "_text"))))
+        links = compare(rows, size, similarity)
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return full.groupBy("a", "i", "j").applyInArrow(task, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every linked node, the component named by its smallest node.
 
@@ -184,33 +258,16 @@ def link(
     found = measured(signed(docs, doc_id, text, size), "signed")
     real = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # One node for each word sequence, whatever the number of its copies.
-    nodes = measured(real.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
-    ), "nodes")
+    nodes = measured(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last"))
     centres = centres.where(F.col("centre") != F.col("_last")).drop("_last")
-    shared = measured(members.join(centres, "bucket"), "buckets")
-    star = shared.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tested = measured(star, "pairs")
+    star = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
+    tested = measured(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = measured(confirmed(tested, docs, doc_id, text, size, similarity), "links")
     closed = components(links)
-
-    # Buckets whose members still lie in several components: only pairs across them can add a link.
-    placed = nodes.join(closed, "node", "left").select(
-        "node", "n", "bits", F.coalesce("component", "node").alias("component"))
-    apart = shared.select("bucket", "node").join(placed.select("node", "component").distinct(), "node")
-    mixed = apart.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    mixed = mixed.where(F.col("_low") != F.col("_high")).select("bucket")
-    rest = measured(shared.select("bucket", "node").join(mixed, "bucket", "left_semi").join(placed, "node").distinct(), "mixed")
-    a, b = rest.alias("a"), rest.alias("b")
-    differing = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    across = a.join(b, (
-        (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node"))
-        & (100 * F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
-        & ((F.least("a.n", "b.n") < FILLED) | (differing <= MOST_APART))
-    )).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = measured(confirmed(measured(across, "pairs"), docs, doc_id, text, size, similarity), "links")
+    placed = nodes.select("node").distinct().join(closed, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    more = measured(across(tested, placed, docs, doc_id, text, size, similarity), "links")
     if more.take(1):
         closed = components(links.unionByName(more))
 
