@@ -27,7 +27,7 @@ CAPACITY = 4096
 #: Most pieces that meet in one task, on average of the groups.
 GROUP_PIECES = 40_000
 #: Exchanges that the local search of a group may make; a measure of effort, all pieces stay packed at any value.
-EXCHANGES = 20_000
+EXCHANGES = 1_000
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 ])
@@ -103,19 +103,24 @@ class Bins:
         insort(self.items[b], (length, place))
         self.put(b, length)
 
-    def move(self, item: tuple[int, int], a: int, b: int) -> None:
+    def trade(self, item: tuple[int, int], a: int, b: int, back: tuple[tuple[int, int], ...] = ()) -> None:
+        """Move a piece from a to b, and others back."""
         self.items[a].remove(item)
+        for other in back:
+            self.items[b].remove(other)
+            insort(self.items[a], other)
         insort(self.items[b], item)
-        self.put(a, -item[0])
-        self.put(b, item[0])
+        gain = item[0] - sum(n for n, _ in back)
+        self.put(a, -gain)
+        self.put(b, gain)
 
 
 def exchange(bins: Bins, a: int) -> bool:
-    """One move or exchange that fills another sequence at the cost of ``a``, the emptier one."""
+    """One move or exchange that fills another sequence at the cost of ``a`` and makes the sum of squared fills larger."""
     for item in reversed(bins.items[a]):
         b = bins.tightest(item[0], other_than=a)
-        if b is not None:
-            bins.move(item, a, b)
+        if b is not None and bins.fill[b] + item[0] > bins.fill[a]:
+            bins.trade(item, a, b)
             return True
     for item in reversed(bins.items[a]):
         length = item[0]
@@ -128,18 +133,13 @@ def exchange(bins: Bins, a: int) -> bool:
                 held = bins.items[b]
                 at = bisect_left(held, (max(1, length - room), -1))
                 if at < len(held) and held[at][0] < length:  # one for one
-                    other = held[at]
-                    bins.move(other, b, a)
-                    bins.move(item, a, b)
+                    bins.trade(item, a, b, (held[at],))
                     return True
                 low, high = 0, len(held) - 1  # two for one
                 while low < high:
                     both = held[low][0] + held[high][0]
                     if length - room <= both < length:
-                        pair = held[low], held[high]
-                        for other in pair:
-                            bins.move(other, b, a)
-                        bins.move(item, a, b)
+                        bins.trade(item, a, b, (held[low], held[high]))
                         return True
                     low, high = (low + 1, high) if both < length else (low, high - 1)
     return False
@@ -158,14 +158,14 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, exchanges: int = EXCHANG
         if not open_:
             break
         a = min(open_, key=lambda b: (bins.fill[b], b))
-        while bins.fill[a] and exchanges > 0 and exchange(bins, a):
-            exchanges -= 1
-        if bins.fill[a]:
+        if not exchange(bins, a):
             stuck.add(a)
-        else:
+            continue
+        exchanges -= 1
+        stuck.clear()
+        if not bins.fill[a]:
             bins.drop(a, capacity)
             used -= 1
-            stuck.clear()
     sequence, offset = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64")
     for b, held in enumerate(bins.items):
         at = 0
