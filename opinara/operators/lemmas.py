@@ -9,13 +9,24 @@ from opinara.functions.text import tokens
 from opinara.operators.sizing import measured
 
 
-def lemmatise(df: DataFrame, row_id: str, text: str, lemmas: DataFrame, out: str = "lemmatised") -> DataFrame:
-    """Replace each word that has a lemma and leave the others.
+#: Forms that one map inside a row expression may hold; with more of them words are joined instead.
+MAP_FORMS = 2_000
 
-    A form may have one lemma only. Words travel as ``(row, position, word)`` and are put back in order; what
-    is gathered per row is a single text.
+
+def lemmatise(
+    df: DataFrame, row_id: str, text: str, lemmas: DataFrame, out: str = "lemmatised", map_forms: int = MAP_FORMS
+) -> DataFrame:
+    """Replace each word that has a lemma and leave the others. Of several lemmas of a form the smallest counts.
+
+    A small table becomes a map, and texts are rewritten in place. With a larger one words travel as ``(row, position,
+    word)`` and are put back in order; what is gathered per row is a single text.
     """
-    table = measured(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), "lemmas")
+    table = measured(lemmas.where("form IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma")), "lemmas")
+    if table.count() <= map_forms:
+        pairs = [x for r in table.collect() for x in (F.lit(r["form"]), F.lit(r["lemma"]))]
+        named = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
+        words = F.transform(tokens(text), lambda w: F.coalesce(F.try_element_at(named, w), w))
+        return df.withColumn(out, F.coalesce(F.array_join(words, " "), F.lit("")))
     words = df.select(row_id, F.posexplode_outer(tokens(text)).alias("_at", "_word")).where(F.col("_word").isNotNull())
     replaced = words.join(table, words["_word"] == table["form"], "left").select(
         row_id, F.struct("_at", F.coalesce("lemma", "_word").alias("_word")).alias("_t")

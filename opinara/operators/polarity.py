@@ -7,6 +7,9 @@ runs in the scan stage; the sums per text are combined there too, since a text's
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,19 +99,56 @@ def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
     return rows.select(
         "_id", "_mixed", "_but", "_at", _stripped(F.col("_raw")).alias("word"),
-        near(-1).alias("w1"), near(-2).alias("w2"), near(-3).alias("w3"), near(1).alias("after"),
+        near(-1).alias("w1"), near(-2).alias("w2"), near(-3).alias("w3"), near(1).alias("after"), near(2).alias("after2"),
     )
 
 
-def token_valences(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """One row per lexicon token of each text with its valence after all token rules."""
+def emoji_words(text, descriptions: dict[str, str]) -> Column:
+    """The text with each listed character replaced by its description, set off by spaces."""
+    if not descriptions:
+        return F.col(text)
+    named = F.create_map(*[F.lit(x) for pair in descriptions.items() for x in pair])
+    spelled = F.transform(F.split(F.col(text), ""), lambda c: F.coalesce(
+        F.concat(F.lit(" "), F.try_element_at(named, c), F.lit(" ")), c))
+    return F.when(F.col(text).rlike("[" + "".join(descriptions) + "]"), F.array_join(spelled, "")).otherwise(F.col(text))
+
+
+def _expressions(v: Column, idioms: dict[str, float], phrases: list[str]) -> Column:
+    """Fixed expressions around a hit set its valence; dampening phrases before it then lower it."""
+    words = [F.lower(c) for c in ("w3", "w2", "w1", "word", "after", "after2")]
+
+    def said(first: int, last: int) -> Column:
+        part = words[first:last + 1]
+        return F.when(reduce(and_, [w.isNotNull() for w in part]), F.concat_ws(" ", *part))
+
+    if idioms:
+        table = F.create_map(*[F.lit(x) for pair in idioms.items() for x in pair])
+        # The later ones win over the earlier: what follows the hit first.
+        order = (said(3, 5), said(3, 4), said(2, 3), said(1, 3), said(1, 2), said(0, 2), said(0, 1))
+        v = F.coalesce(*[F.try_element_at(table, s) for s in order], v)
+    for s in (said(0, 2), said(0, 1), said(1, 2)):
+        v = v - F.when(s.isin(phrases), vocab.BOOST).otherwise(0.0)
+    return v
+
+
+def token_valences(
+    df: DataFrame, row_id: str, text: str, lexicon: DataFrame, idioms: dict[str, float] | None = None,
+    phrases: list[str] | None = None,
+) -> DataFrame:
+    """One row per lexicon token of each text with its valence after all token rules.
+
+    ``idioms`` and ``phrases`` replace the fixed expressions and the dampening phrases of the rule set; both look at
+    hits with at least three words before them, the third of which is not in the lexicon.
+    """
+    idioms = vocab.IDIOMS if idioms is None else idioms
+    phrases = vocab.DAMPENING_PHRASES if phrases is None else phrases
     table = sized_lexicon(lexicon)
     members = table.select(F.col("token").alias("_m"))
     rows = _token_rows(df, row_id, text)
     # Boosters carry no valence themselves, nor does "kind" in "kind of".
     low = F.lower("word")
     rows = rows.where(~low.isin(vocab.BOOSTERS + vocab.DAMPENERS)).join(table, low == F.col("token"))
-    rows = rows.withColumns({name: _stripped(F.col(name)) for name in ("w1", "w2", "w3", "after")})
+    rows = rows.withColumns({name: _stripped(F.col(name)) for name in ("w1", "w2", "w3", "after", "after2")})
     rows = rows.where(~((F.col("token") == "kind") & _one_of(F.lower("after"), "of")))
     for name in ("w1", "w2", "w3", "after"):
         side = members.select(F.col("_m").alias(f"_{name}"))
@@ -136,15 +176,24 @@ def token_valences(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) ->
     rows = step(rows, "w3", 0.9, lambda v: F.when((_one_of(l3, "never") & _one_of(l2, "so", "this")) | intensifies, v * 1.25)
                 .when(_one_of(l3, "without") & (_one_of(l2, "doubt") | _one_of(l1, "doubt")), v)
                 .when(_negated(l3), v * vocab.NEGATION_SCALE).otherwise(v))
+    third = F.col("w3").isNotNull() & ~F.col("in_w3")
+    rows = rows.withColumn("v", F.when(third, _expressions(F.col("v"), idioms, phrases)).otherwise(F.col("v")))
     least = _one_of(l1, "least") & ~F.col("in_w1") & ~_one_of(l2, "at", "very")
     rows = rows.withColumn("v", F.when(least, F.col("v") * vocab.NEGATION_SCALE).otherwise(F.col("v")))
     around_but = F.when(F.col("_at") < F.col("_but"), 0.5).when(F.col("_at") > F.col("_but"), 1.5).otherwise(1.0)
     return rows.select(F.col("_id").alias(row_id), F.col("_at").alias("position"), "token", (F.col("v") * around_but).alias("valence"))
 
 
-def polarity(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """Compound, positive, negative and neutral score per text; all zero for an empty text."""
-    hits = token_valences(df, row_id, text, lexicon).groupBy(row_id).agg(
+def polarity(
+    df: DataFrame, row_id: str, text: str, lexicon: DataFrame, idioms: dict[str, float] | None = None,
+    phrases: list[str] | None = None, emoji: dict[str, str] | None = None,
+) -> DataFrame:
+    """Compound, positive, negative and neutral score per text; all zero for an empty text.
+
+    ``emoji`` maps characters to the words that stand for them.
+    """
+    df = df.withColumn(text, emoji_words(text, emoji or {}))
+    hits = token_valences(df, row_id, text, lexicon, idioms, phrases).groupBy(row_id).agg(
         F.sum("valence").alias("_sum"),
         F.sum(F.when(F.col("valence") > 0, F.col("valence") + 1)).alias("_pos"),
         F.sum(F.when(F.col("valence") < 0, F.col("valence") - 1)).alias("_neg"),
@@ -170,9 +219,9 @@ def polarity(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataF
     )
 
 
-def with_scores(df: DataFrame, row_id: str, text: str, lexicon: DataFrame) -> DataFrame:
+def with_scores(df: DataFrame, row_id: str, text: str, lexicon: DataFrame, **rules) -> DataFrame:
     """The table with its four polarity columns, subjectivity and label; polarity is computed once."""
-    scored = polarity(df, row_id, text, lexicon).select(
+    scored = polarity(df, row_id, text, lexicon, **rules).select(
         row_id, F.col("compound").alias("sentiment_polarity"), F.col("positive").alias("sentiment_positive"),
         F.col("negative").alias("sentiment_negative"), F.col("neutral").alias("sentiment_neutral"),
     )

@@ -37,10 +37,11 @@ _FINAL_SHOWN = [
     "sentiment_magnitude", "community_size",
 ]
 _STOP = vocab.STOP_WORDS
+_LEMMA = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in t.LEMMAS)
 _FINAL_SQL = f"""WITH {t.MERGED},
 kept AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY text ORDER BY source_rank, seq) = 1),
 featured AS (
-  SELECT *, {t.s_tfidf('text', _STOP)} AS text_tfidf, {t.s_minimal('text')} AS text_bert, {t.s_basic('text')} AS text_clean,
+  SELECT *, coalesce(array_to_string(list_transform({t.s_tokens(t.s_tfidf('text', _STOP))}, lambda w: CASE w {_LEMMA} ELSE w END), ' '), '') AS text_tfidf, {t.s_minimal('text')} AS text_bert, {t.s_basic('text')} AS text_clean,
     CAST(year(created_at) AS INTEGER) AS year, CAST(month(created_at) AS INTEGER) AS month,
     CAST(isodow(created_at) - 1 AS INTEGER) AS day_of_week, CAST(hour(created_at) AS INTEGER) AS hour,
     {t.s_count('text', '!')} AS exclamation_count, {t.s_count('text', '?')} AS question_count, {t.s_count('text', '.')} AS period_count,
@@ -54,7 +55,7 @@ FROM featured WHERE length(text_clean) > 0"""
 
 
 def _final(spark, sf):
-    return prepare.prepare(t.raw_a(spark, sf), t.raw_b(spark, sf), "seq")
+    return prepare.prepare(t.raw_a(spark, sf), t.raw_b(spark, sf), "seq", lemma_table=t.lemma_table(spark))
 
 
 @query("a00_final_table", _FINAL_SQL)

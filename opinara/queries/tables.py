@@ -17,6 +17,9 @@ LEXICON = [
     ("that", 1.5), ("was", -1.2), ("with", 0.8), ("der", -0.9), ("que", 1.1), ("und", 0.6), ("les", -0.7),
     ("for", 2.0), ("no", -1.2), ("best", 3.2), ("it", -0.4), ("on", 0.3),
 ]
+# Expressions that occur in the given texts.
+IDIOMS = {"that the": 1.7, "was of the": -0.4, "that of": 0.0, "of the": 2.2}
+PHRASES = ["of the", "the of the", "in a"]
 LEMMAS = [("was", "be"), ("is", "be"), ("are", "be"), ("les", "le"), ("des", "de"), ("die", "der")]
 
 

@@ -114,6 +114,12 @@ DAMPENERS = [
     "little", "marginal", "marginally", "occasional", "occasionally", "partly", "scarce", "scarcely",
     "slight", "slightly", "somewhat", "sort of", "sorta", "sortof", "sort-of",
 ]
+# Phrases before a word, from the list above, and fixed expressions with the valence they set.
+DAMPENING_PHRASES = ["just enough", "kind of", "sort of"]
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0,
+    "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
 NEGATIONS = [
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't",
     "can't", "couldn't", "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent", "isnt",

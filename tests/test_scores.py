@@ -57,6 +57,10 @@ CASES = {
     "least good": 1.9 * -0.74,
     "at least good": 1.9,
     "kind of good": 1.9,
+    "it was kind of good": 1.9 - 0.293,
+    "it was just enough good": 1.9 - 0.293,
+    "now it is the bomb bad": 3.0,
+    "that is a bad ass thing": 1.5,
     "(good)": 1.9,
 }
 
@@ -82,3 +86,11 @@ def test_scores_of_whole_texts(spark):
     assert tuple(out[2])[1:] == (0.0, 0.0, 0.0, 0.0)
     assert (out[3]["compound"], out[3]["neutral"]) == (0.0, 1.0)
     assert out[4]["compound"] < 0 and out[4]["negative"] == 1.0
+
+
+def test_idioms_and_emoji_are_parameters(spark):
+    lexicon = spark.createDataFrame(LEXICON, "token string, valence double")
+    rows = spark.createDataFrame([(0, "so it was plain good"), (1, "😀 day")], "id int, t string")
+    out = {r["id"]: r["compound"] for r in polarity.polarity(rows, "id", "t", lexicon, idioms={"plain good": -2.0}, emoji={"😀": "good smile"}).collect()}
+    assert out[0] == pytest.approx(round(-2 / math.sqrt(4 + 15), 4))
+    assert out[1] == pytest.approx(round(1.9 / math.sqrt(1.9**2 + 15), 4))

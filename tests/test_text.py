@@ -95,8 +95,9 @@ def test_word_bounds(evaluate_text):
 def test_lemmas_keep_order_and_unknown_words(spark):
     rows = spark.createDataFrame([(1, "cats are  running"), (2, ""), (3, "cats cats dog")], "id int, t string")
     table = spark.createDataFrame([("cats", "cat"), ("running", "run")], "form string, lemma string")
-    out = {r["id"]: r["l"] for r in lemmas.lemmatise(rows, "id", "t", table, "l").collect()}
-    assert out == {1: "cat are run", 2: "", 3: "cat cat dog"}
+    for forms in (0, 10):
+        out = {r["id"]: r["l"] for r in lemmas.lemmatise(rows, "id", "t", table, "l", map_forms=forms).collect()}
+        assert out == {1: "cat are run", 2: "", 3: "cat cat dog"}
 
 
 @settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
