@@ -185,40 +185,20 @@ def _bins(value: Column, low: Column, high: Column, bins: int) -> Column:
 def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, by_values: list[str] | None = None) -> DataFrame:
     """Equal-width histogram with empty bins, for the whole table or for each listed class.
 
-    Bounds come from a one-row aggregate used as scalar subqueries, so rows are binned in place and only
-    bin counts are shuffled. A constant column gets the range plus or minus one half.
+    The bounds are one row per class, written once and joined back, so only bin counts are shuffled. A constant column
+    gets the range plus or minus one half; a class without values has no bins.
     """
-    value = F.col(column).cast("double")
-    classes = by_values if by else [None]
-    bounds_of = {}
-    for i, v in enumerate(classes):
-        hit = value if v is None else F.when(F.col(by) == v, value)
-        bounds_of[v] = (F.min(hit).alias(f"lo{i}"), F.max(hit).alias(f"hi{i}"))
-    bounds = df.agg(*[c for pair in bounds_of.values() for c in pair])
-
-    def edges(i: int, source) -> tuple[Column, Column]:
-        low, high = source(f"lo{i}"), source(f"hi{i}")
-        flat = low == high
-        return F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-
-    def scalar(name: str) -> Column:
-        return bounds.select(name).scalar()
-
-    if by:
-        chain = F
-        for i, v in enumerate(classes):
-            chain = chain.when(F.col(by) == v, _bins(value, *edges(i, scalar), bins))
-        rows = df.where(F.col(by).isin(by_values) & value.isNotNull()).select(F.col(by).alias("class"), chain.alias("bin"))
-    else:
-        rows = df.where(value.isNotNull()).select(F.lit("all").alias("class"), _bins(value, *edges(0, scalar), bins).alias("bin"))
-    counts = rows.groupBy("class", "bin").agg(F.count("*").alias("n"))
-
-    frames = rows_from(bounds, [
-        {"class": F.lit("all" if v is None else v), "low": edges(i, F.col)[0], "high": edges(i, F.col)[1]}
-        for i, v in enumerate(classes)
-    ]).where(F.col("low").isNotNull())
+    rows = df.where(F.col(by).isin(by_values)) if by else df
+    rows = rows.select((F.col(by) if by else F.lit("all")).alias("class"), F.col(column).cast("double").alias("_v"))
+    rows = rows.where(F.col("_v").isNotNull())
+    ends = rows.groupBy("class").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    half = F.when(F.col("_low") == F.col("_high"), 0.5).otherwise(0.0)
+    bounds = measured(ends.select("class", (F.col("_low") - half).alias("low"), (F.col("_high") + half).alias("high")), "bounds")
+    binned = rows.join(bounds, "class").select("class", _bins(F.col("_v"), F.col("low"), F.col("high"), bins).alias("bin"))
+    counts = binned.groupBy("class", "bin").agg(F.count("*").alias("n"))
+
     width = (F.col("high") - F.col("low")) / bins
-    grid = frames.select(
+    grid = bounds.select(
         "class", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "low", width.alias("width")
     ).select(
         "class", "bin",
