@@ -26,8 +26,8 @@ from opinara.llm.tokens import encoder
 CAPACITY = 4096
 #: Most pieces that meet in one task, on average of the groups.
 GROUP_PIECES = 40_000
-#: Exchanges that the local search of a group may make; a measure of effort, all pieces stay packed at any value.
-EXCHANGES = 1_000
+#: Exchanges that the local search of a group may try; a measure of effort, all pieces stay packed at any value.
+EXCHANGES = 300
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 ])
@@ -158,10 +158,10 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, exchanges: int = EXCHANG
         if not open_:
             break
         a = min(open_, key=lambda b: (bins.fill[b], b))
+        exchanges -= 1
         if not exchange(bins, a):
             stuck.add(a)
             continue
-        exchanges -= 1
         stuck.clear()
         if not bins.fill[a]:
             bins.drop(a, capacity)
