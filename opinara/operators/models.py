@@ -21,6 +21,8 @@ from opinara.operators.splits import with_class_weight
 KINDS = ("logistic_regression", "random_forest", "svc", "baseline")
 MAX_TREE_DEPTH = 30
 PARALLEL_FITS = 4
+#: Relative change of the loss at which the linear solvers stop before their last iteration.
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -47,7 +49,7 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
         common["weightCol"] = weight
     if kind == "logistic_regression":
         return LogisticRegression(
-            family="multinomial", maxIter=params.get("max_iter", 1000), standardization=False,
+            family="multinomial", maxIter=params.get("max_iter", 1000), tol=params.get("tol", TOLERANCE), standardization=False,
             regParam=1.0 / (params.get("C", 1.0) * n_rows),
             elasticNetParam=1.0 if params.get("penalty") == "l1" else 0.0, **common,
         )
@@ -61,7 +63,7 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
         )
     if kind == "svc":
         machine = LinearSVC(
-            maxIter=params.get("max_iter", 1000), standardization=False,
+            maxIter=params.get("max_iter", 1000), tol=params.get("tol", TOLERANCE), standardization=False,
             regParam=1.0 / (params.get("C", 1.0) * n_rows), **common,
         )
         return OneVsRest(classifier=machine, parallelism=PARALLEL_FITS, **common)
