@@ -27,7 +27,7 @@ def test_prefix_sums_do_not_depend_on_partitions(spark):
     pdf = pd.DataFrame({"k": rng.choice(["hot", "hot", "cold"], 4000), "x": rng.permutation(4000).astype(float), "n": rng.integers(1, 9, 4000)})
     expected = pdf.sort_values("x").assign(b=lambda d: d.groupby("k")["n"].cumsum() - d["n"]).set_index("x")["b"].to_dict()
     for parts in (1, 7):
-        out = prefix.with_prefix_sums(spark.createDataFrame(pdf).repartition(parts), ["k"], "x", ["n"], buckets=16).collect()
+        out = prefix.with_prefix_sums(spark.createDataFrame(pdf).repartition(parts), ["k"], "x", ["n"], rows_per_range=250).collect()
         assert {r["x"]: r["n_before"] for r in out} == expected
         assert {r["k"]: r["n_total"] for r in out} == pdf.groupby("k")["n"].sum().to_dict()
 
