@@ -79,3 +79,31 @@ def test_rows_of_any_kind(spark):
     assert {r["id"] for r in out} == set(range(300))
     used = check([r["n"] for r in out], [r["sequence_id"] for r in out], [r["offset"] for r in out], 100)
     assert used <= 1.05 * sum(10 + i % 50 for i in range(300)) / 100 + 2
+
+
+def improving(held, capacity):
+    """Any move, one-for-one or two-for-one exchange that makes the sum of squared fills larger, by trying all."""
+    fills = [sum(h) for h in held]
+    for a, giver in enumerate(held):
+        for b, taker in enumerate(held):
+            if a != b and fills[b] < capacity:
+                backs = [0, *taker, *(x + y for i, x in enumerate(taker) for y in taker[i + 1:])]
+                for length in giver:
+                    for gain in (length - s for s in backs):
+                        if 0 < gain <= capacity - fills[b] and fills[b] + gain > fills[a]:
+                            return a, b, length
+    return None
+
+
+@pytest.mark.parametrize("capacity, low, high, n, seed", [
+    (1000, 334, 500, 700, 1), (4096, 1200, 2048, 500, 2), (100, 20, 60, 400, 3), (400, 90, 210, 800, 4), (64, 1, 64, 300, 5),
+])
+def test_search_ends_only_without_exchanges(capacity, low, high, n, seed):
+    rng = random.Random(seed)
+    lengths = np.array([rng.randint(low, high) for _ in range(n)])
+    sequence, offset = packing.pack(lengths, capacity)
+    used = check(lengths, sequence, offset, capacity)
+    held = defaultdict(list)
+    for length, s in zip(lengths.tolist(), sequence):
+        held[s].append(length)
+    assert used == -(-lengths.sum() // capacity) or improving(list(held.values()), capacity) is None
