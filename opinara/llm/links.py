@@ -1,7 +1,8 @@
 """URL verdicts: listed rules first, then trust and distrust spread over the host graph.
 
 Trust starts at hosts with allowed pages and follows links; distrust starts at hosts with blocked pages and follows
-links backwards, to those who point there. Both are personalised PageRank on host edges counted from the pages.
+links backwards, to those who point there. Both are personalised PageRank on host edges counted from the pages, walked
+until no score changes any more by a relative ``TOLERANCE``; scores within a relative ``TIE`` are equal.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; a null
 html has no links; pages of one url are judged alike, row by row; hosts that no seed reaches are allowed; an empty
@@ -27,7 +28,12 @@ RULES = (
 # ---------------------------------------------------------------------------------------------------------
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+#: STEPS is how far the SQL of the query walks; the operator itself walks until TOLERANCE holds.
 DAMPING, STEPS, STEPS_PER_CUT = 0.85, 10, 5
+#: A walk has settled when no host's score grows by more than this share of itself in a step.
+TOLERANCE = 1e-12
+#: Distrust exceeds trust only by more than this share of it, so that the order of additions decides nothing.
+TIE = 1e-9
 #: A host is blocked when its distrust exceeds this many times its trust.
 RATIO = 1.0
 
@@ -67,26 +73,32 @@ def host_edges(rows: DataFrame, html: str) -> DataFrame:
     return links.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank. ``edges``: (walk, a, b, share), ``seeds``: (walk, host, mass); gives (walk, host, score).
 
-    Hosts without mass have no row. Mass at a host without links leaves the walk. Every step is one join on the
-    sending host and one sum that combines before the shuffle.
+    Hosts without mass have no row. Mass at a host without links leaves the walk. A score is the sum of the mass that
+    arrives in each step, so it only grows; the walk ends when no host's last arrival exceeds ``tolerance`` times its
+    score, which a host reached just now always does. Every step is one join on the sending host and one sum that
+    combines before the shuffle.
     """
-    start = seeds.select("walk", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    now = seeds.select("walk", "host", "mass")
-    for i in range(steps):
-        on = (F.col("e.walk") == F.col("r.walk")) & (F.col("e.a") == F.col("r.host"))
-        sent = edges.alias("e").join(now.alias("r"), on).select(
-            F.col("e.walk").alias("walk"), F.col("e.b").alias("host"), (F.col("r.mass") * F.col("e.share") * damping).alias("mass")
-        )
-        now = start.unionByName(sent).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
-        if (i + 1) % STEPS_PER_CUT == 0 and i + 1 < steps:
-            now = measured(now, "ranks")
-    return now.withColumnRenamed("mass", "score")
-
-
-def host_scores(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+    start = F.col("mass") * (1 - damping)
+    now = seeds.select("walk", "host", start.alias("score"), start.alias("new"))
+    while True:
+        for _ in range(STEPS_PER_CUT):
+            on = (F.col("e.walk") == F.col("r.walk")) & (F.col("e.a") == F.col("r.host"))
+            moved = F.col("r.new") * F.col("e.share") * damping
+            sent = edges.alias("e").join(now.where(F.col("new") > 0).alias("r"), on).select(
+                F.col("e.walk").alias("walk"), F.col("e.b").alias("host"), moved.alias("score"), moved.alias("new")
+            )
+            now = now.withColumn("new", F.lit(0.0)).unionByName(sent).groupBy("walk", "host").agg(
+                F.sum("score").alias("score"), F.sum("new").alias("new")
+            )
+        now = measured(now, "ranks")
+        if not now.where(F.col("new") > tolerance * F.col("score")).take(1):
+            return now.select("walk", "host", "score")
+
+
+def host_scores(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Per host with any mass: ``trust`` and ``distrust``. ``hosts``: (host, n_allow, n_block)."""
     edges = measured(edges, "edges")
     hosts = measured(hosts, "hosts")
@@ -105,29 +117,29 @@ def host_scores(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, st
             F.lit(walk).alias("walk"), "a", "b", (F.col("n") / F.col("total")).alias("share")
         )
 
-    # Without edges a walk stays where it starts, whatever the number of steps.
-    steps = steps if edges.take(1) else 1
-    links = measured(shares("trust", "src", "dst").unionByName(shares("distrust", "dst", "src")), "shares")
-    ranks = spread(links, seeds, damping, steps)
+    if edges.take(1):
+        links = measured(shares("trust", "src", "dst").unionByName(shares("distrust", "dst", "src")), "shares")
+        ranks = spread(links, seeds, damping, tolerance)
+    else:  # A walk stays where it starts.
+        ranks = seeds.select("walk", "host", (F.col("mass") * (1 - damping)).alias("score"))
 
     def score(walk: str) -> Column:
-        # Rounded, so that the order of additions decides nothing.
-        return F.round(F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("score"))), F.lit(0.0)), 12).alias(walk)
+        return F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("score"))), F.lit(0.0)).alias(walk)
 
     return ranks.groupBy("host").agg(score("trust"), score("distrust"))
 
 
 def judge(
     pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, ratio: float = RATIO,
-    damping: float = DAMPING, steps: int = STEPS,
+    damping: float = DAMPING, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """The rows of ``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust``."""
     rows = placed(pages.drop(*[c for c in ("trust", "distrust") if c not in (url, html)]), url, rules)
     counted = rows.where(F.col("host") != "").groupBy("host").agg(
         F.count_if(F.col("_listed") == ALLOW).alias("n_allow"), F.count_if(F.col("_listed") == BLOCK).alias("n_block")
     )
-    scores = measured(host_scores(host_edges(rows, html), counted, damping, steps), "host_scores")
+    scores = measured(host_scores(host_edges(rows, html), counted, damping, tolerance), "host_scores")
     zero = F.lit(0.0)
     scored = rows.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
-    spread_verdict = F.when(F.col("distrust") > ratio * F.col("trust"), BLOCK).otherwise(ALLOW)
+    spread_verdict = F.when(F.col("distrust") > ratio * (1 + TIE) * F.col("trust"), BLOCK).otherwise(ALLOW)
     return scored.withColumn("verdict", F.coalesce("_listed", spread_verdict)).drop("_listed")

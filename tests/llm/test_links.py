@@ -88,3 +88,46 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://x.org/", "", "v", "h", "t")], "page_id bigint, url string, html string, verdict string, host string, trust string")
     r = links.judge(df).first()
     assert (r["host"], r["verdict"], r["rule"]) == ("x.org", "allow", "org/")
+
+
+def converged(edges, hosts, damping):
+    """(trust, distrust) per host, from the linear system that the walks converge to."""
+    import numpy as np
+
+    names = sorted({h for e in edges for h in e[:2]} | {h[0] for h in hosts})
+    at = {h: i for i, h in enumerate(names)}
+    scores = []
+    for walk in (0, 1):
+        move, start = np.zeros((len(names), len(names))), np.zeros(len(names))
+        for src, dst, n in edges:
+            a, b = (src, dst) if walk == 0 else (dst, src)
+            move[at[b], at[a]] += n
+        move /= np.maximum(move.sum(axis=0), 1)
+        for h in hosts:
+            start[at[h[0]]] = h[1 + walk]
+        scores.append(np.linalg.solve(np.eye(len(names)) - damping * move, (1 - damping) * start / start.sum()))
+    return {h: (scores[0][i], scores[1][i]) for h, i in at.items()}
+
+
+def test_walks_converge(spark):
+    chain = [(f"c{i + 1}", f"c{i}", 1) for i in range(13)] + [("c0", "bad", 1)]
+    cycle = [("good", "x", 3), ("x", "y", 2), ("y", "good", 5), ("y", "x", 1), ("x", "bad", 1)]
+    small = [(f"s{i + 1}", f"s{i}", 1) for i in range(3)] + [("crowd", f"s{i}", 10**5) for i in range(3)] + [("s0", "rare", 1)]
+    edges, hosts = chain + cycle + small, [("good", 7, 0), ("bad", 0, 10**6), ("rare", 0, 1), ("alone", 2, 3)]
+    rows = links.host_scores(spark.createDataFrame(edges, "src string, dst string, n bigint"),
+                             spark.createDataFrame(hosts, "host string, n_allow bigint, n_block bigint"), damping=0.5).collect()
+    expected = converged(edges, hosts, 0.5)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in rows}
+    assert set(got) == {h for h, s in expected.items() if max(s) > 0}
+    for h, s in got.items():
+        assert s == pytest.approx(expected[h], rel=1e-9, abs=0), h
+
+
+def test_far_hosts_and_small_masses_are_blocked(spark):
+    pages = [page("http://bad.com/de/1")] + [page(f"http://c{i}.net/", f"http://c{i - 1}.net/" if i else "http://bad.com/") for i in range(13)]
+    pages += [page("http://crowd.net/", *[f"http://{h}.net/" for h in ("s0", "s1", "s2", "s3") for _ in range(999)])]
+    pages += [page(f"http://s{i}.net/", f"http://s{i - 1}.net/" if i else "http://c0.net/") for i in range(5)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    rows = links.judge(df).collect()
+    assert {r["host"] for r in rows if r["verdict"] == "allow"} == set()
+    assert 0 < min(r["distrust"] for r in rows) < 5e-13
