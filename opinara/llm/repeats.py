@@ -1,11 +1,12 @@
-"""Long byte strings that occur more than once in the corpus, through longest previous factors.
+"""Long byte strings that occur more than once in the corpus, by hashes of windows and equality in suffix order.
 
 Every window of ``length`` bytes is owned by the least-hashed stretch of ``ANCHOR`` bytes inside it, so equal windows
 are owned by equal stretches at the same place. Neighbouring windows of one owner form a run. Counts of owners, and of
 whole runs, settle nearly all windows without moving a text: an owner seen once has no repeated window, and a whole
 run seen twice has only repeated ones. The rest, the runs around the ends of a repeated passage, are gathered by owner
-in groups of bounded size. Each group is put in suffix order, and previous and next smaller positions in that order
-give each window its longest previous factor; a window whose factor reaches ``length`` is a copy of an earlier one.
+in groups of bounded size. In each group, windows whose hash occurs twice are put in suffix order by ``length`` bytes,
+and neighbours of equal rank are copies. The lengths of previous factors are not computed, only whether they reach
+``length``. Owners with more runs than a group holds are settled by counts of window digests.
 
 ``keep_first`` leaves the first copy by (id, place) and drops the later ones; otherwise all copies go. Bytes covered by
 a dropped window are removed. Windows never cross documents, and are judged on the input alone.
@@ -128,9 +129,8 @@ def suffix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, list[np.nda
 def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For windows at ``starts`` (ascending): is there an equal one before it, and any equal one at all.
 
-    The windows are put in suffix order. A factor of ``length`` or more is one whose neighbours in that order, up to
-    the previous or next smaller position, agree in ``length`` bytes: within such a stretch of the order, positions
-    ascend, so the neighbour before is the previous smaller position.
+    The windows are put in order of their next ``length`` bytes, equal ones by place: the first of a stretch of equal
+    ones has no equal one before it. The lengths of the factors themselves are not computed.
     """
     rank = suffix_ranks(data, length)[0][starts]
     order = np.lexsort((starts, rank))
