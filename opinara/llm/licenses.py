@@ -1,9 +1,10 @@
 """Licence notices, found through a positional index of rare words.
 
 Of each template the words that fewest documents hold are indexed with their places in it. A document is searched by
-those words only: each one found says where a template would have to start, and starts that enough of them agree on
-are compared word by word. A template counts when enough of its words stand at their places and all its key phrases
-do. Word frequencies are counted over the whole corpus first.
+those words only: each one found says where a template would have to start, and there it is compared word by word. A
+template counts when enough of its words stand at their places and all its key phrases do. So many places are indexed
+that no notice can do without all of them: one of a key phrase, or else one more than the words that may differ. Word
+frequencies are counted over the whole corpus first.
 
 Base phrases are templates of their own that must agree in every word; as each is indexed by one of its words, every
 place of theirs is found.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 
 from opinara.llm.common import widened
 
-RARE = 3
 ADDED = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 # Bytes to words: A-Z to lower case, everything that separates to a space.
 TO_WORDS = bytes(
@@ -80,19 +80,13 @@ def words(text: str | None) -> list[bytes]:
 class Index:
     """Rare words of the templates with their places; ``frequency`` counts the documents that hold a word."""
 
-    def __init__(self, templates: tuple[Template, ...], frequency: dict[bytes, int], rare: int = RARE):
+    def __init__(self, templates: tuple[Template, ...], frequency: dict[bytes, int]):
         self.templates = [(t, words(t.text)) for t in templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed: list[int] = []
         self.keys: list[list[tuple[int, int]]] = []  # stretches of the template that must agree whole
         for n, (t, own) in enumerate(self.templates):
             if not own:
                 raise ValueError(f"template {t.label} has no words")
-            rarest = sorted(set(own), key=lambda w: (frequency.get(w, 0), w))[:1 if t.least == 1.0 else rare]
-            for place, w in enumerate(own):
-                if w in rarest:
-                    self.postings[w].append((n, place))
-            self.needed.append(min(2, len(rarest)))
             stretches = []
             for key in map(words, t.keys):
                 at = next((i for i in range(len(own)) if own[i:i + len(key)] == key), None)
@@ -100,23 +94,24 @@ class Index:
                     raise ValueError(f"key phrase not in template {t.label}")
                 stretches.append((at, at + len(key)))
             self.keys.append(stretches)
+            # Words of key phrases may not differ, so one of them is enough; an empty key phrase holds none.
+            fixed = [i for low, high in stretches for i in range(low, high)]
+            differ = 0 if fixed else sum(k / len(own) >= t.least for k in range(len(own)))
+            rarest = sorted(fixed or range(len(own)), key=lambda i: (frequency.get(own[i], 0), own[i], i))
+            for place in rarest[:differ + 1]:
+                self.postings[own[place]].append((n, place))
 
     def matches(self, found: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, share of agreeing words) of every notice in a document."""
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for i, w in enumerate(found):
-            for n, place in self.postings.get(w, ()):
-                if i >= place:
-                    votes[n, i - place].add(w)
+        starts = {(n, i - place) for i, w in enumerate(found) for n, place in self.postings.get(w, ()) if i >= place}
         out = []
-        for (n, start), rare in votes.items():
+        for n, start in starts:
             template, own = self.templates[n]
-            if len(rare) < self.needed[n]:
-                continue
             there = found[start:start + len(own)]
-            share = sum(a == b for a, b in zip(own, there)) / len(own)
-            if share >= template.least and all(own[a:b] == there[a:b] for a, b in self.keys[n]):
-                out.append((n, start, share))
+            if all(own[a:b] == there[a:b] for a, b in self.keys[n]):
+                share = sum(a == b for a, b in zip(own, there)) / len(own)
+                if share >= template.least:
+                    out.append((n, start, share))
         return out
 
     def judge(self, text: str | None) -> tuple:
@@ -149,9 +144,9 @@ def document_frequency(df: DataFrame, text: str, templates: tuple[Template, ...]
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, rare: int = RARE) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """The rows of ``df`` with the counts, places, labels and score of the notices in their texts."""
-    index = Index(templates, document_frequency(df, text, templates), rare)
+    index = Index(templates, document_frequency(df, text, templates))
     made = [x.split()[0] for x in ADDED.split(", ")]
     kept = [c for c in df.columns if c not in made]
     read = kept if text in kept else [*kept, text]

@@ -55,3 +55,30 @@ def test_odd_rows(documents, no_documents):
     assert sorted((r["doc_id"] or 0, r["n_words"], r["n_base"]) for r in out) == sorted(
         (r["doc_id"] or 0, *brute(r["text"])[:2]) for r in documents.collect())
     assert licenses.scan(no_documents).collect() == []
+
+
+def test_every_notice_with_rare_words_replaced():
+    import random
+
+    rng = random.Random(3)
+    loose = licenses.Template("loose", " ".join(f"v{i}" for i in range(20)))
+    templates = (*licenses.TEMPLATES, loose, licenses.Template("repeats", "a a b b c c d d e e"))
+    own = [licenses.words(t.text) for t in templates]
+    frequency = {w: rng.choice([0, 1, 5, 50]) for o in own for w in o}
+    index = licenses.Index(templates, frequency)
+    matched = 0
+    for _ in range(1500):
+        n = rng.randrange(len(own))
+        changed = set(sorted(range(len(own[n])), key=lambda i: (frequency[own[n][i]], rng.random()))[:rng.randrange(6)])
+        found = [b"pad"] * rng.randrange(4) + [b"other" if i in changed else w for i, w in enumerate(own[n])] + [b"a"] * rng.randrange(4)
+        expected = set()
+        for m, (t, o) in enumerate(zip(templates, own)):
+            for start in range(len(found)):
+                there = found[start:start + len(o)]
+                share = sum(x == y for x, y in zip(o, there)) / len(o)
+                if share >= t.least and all(o[a:b] == there[a:b] for a, b in index.keys[m]):
+                    expected.add((m, start, share))
+        got = index.matches(found)
+        assert len(got) == len(set(got)) and set(got) == expected
+        matched += bool(changed) and any(m == n for m, _, _ in expected)
+    assert matched > 100
