@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opinara.llm import credentials, decontaminate, links, rules
+from opinara.llm import codes, credentials, decontaminate, links, rules
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -163,10 +163,46 @@ SELECT d.doc_id, a.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIG
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
+def codes_sql() -> str:
+    rounds = []
+    for r in range(codes.ROUNDS + 1):
+        rounds.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 1024 + e) AS best
+  FROM v JOIN b{r} USING (part) GROUP BY vec_id, part
+)""")
+        if r < codes.ROUNDS:
+            rounds.append(f"""
+m{r} AS (
+  SELECT part, e, i, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS y FROM (
+    SELECT part, best % 1024 AS e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM v JOIN a{r} USING (vec_id, part)) GROUP BY part, e, i
+), b{r + 1} AS MATERIALIZED (
+  SELECT part, e, coalesce(n.c, b{r}.c) AS c FROM b{r}
+  LEFT JOIN (SELECT part, e, list(y::BIGINT ORDER BY i) AS c FROM m{r} GROUP BY part, e) n USING (part, e)
+)""")
+    last = codes.ROUNDS
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {codes.SCALE})::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, part, x[part * (len(x) // {codes.PARTS}) + 1:(part + 1) * (len(x) // {codes.PARTS})] AS x
+  FROM (SELECT vec_id, x, unnest(range(0, {codes.PARTS})) AS part FROM k)
+), f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {codes.ENTRIES}),
+b0 AS MATERIALIZED (SELECT part, e, x AS c FROM v JOIN f USING (vec_id)), {', '.join(rounds)},
+o AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', best % 1024), '' ORDER BY part) AS code, sum(best // 1024)::BIGINT AS error FROM a{last} GROUP BY vec_id
+), s AS (SELECT sha256(string_agg(y, ',' ORDER BY part, e, i)) AS h FROM (
+  SELECT part, e, unnest(range(1, len(c) + 1)) AS i, unnest(c)::VARCHAR AS y FROM b{last}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM o JOIN k USING (vec_id), s"""
+
+
 ORACLES = {
     "op2_rules": rules_sql(),
     "op4_secrets": secrets_sql(),
     "op5_links": links_sql(),
     "op6_near": NEAR,
     "op7_decontaminate": decontaminate_sql(),
+    "op12_codes": codes_sql(),
 }

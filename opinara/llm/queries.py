@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import credentials, decontaminate, language, licenses, links, near, packing, records, repeats, rules
+from opinara.llm import codes, credentials, decontaminate, language, licenses, links, near, packing, records, repeats, rules, whitening
 from opinara.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,13 @@ def op10_records(spark, sf_dir):
     index = records.write(docs, vocabulary("byte_bpe_50k.json"), end_id=2)
     placed = records.with_start(index)
     return records.read(placed, keep=("start",), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op12_codes(spark, sf_dir):
+    return codes.encode(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
