@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import codes, credentials, decontaminate, language, licenses, links, near, packing, records, repeats, rules, whitening
+from opinara.llm import codes, credentials, decontaminate, language, licenses, links, near, packing, personal, records, repeats, rules, whitening
 from opinara.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,20 @@ def op10_records(spark, sf_dir):
     return records.read(placed, keep=("start",), with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op11_personal(spark, sf_dir):
+    found = personal.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(personal.listed(base).cast("binary"), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op12_codes(spark, sf_dir):
     return codes.encode(table(spark, sf_dir, "embeddings")).drop("label")
