@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.llm.common import measured
 from opinara.llm.tokens import encoder
@@ -293,18 +294,21 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, exchanges: int | None =
 def assigned(rows: DataFrame, length: str, capacity: int, group_pieces: int, exchanges: int | None, round_: int) -> DataFrame:
     """Pack the rows of each group; ``rows`` is written already and has a unique ``_row``."""
     groups = max(1, -(-rows.count() // group_pieces))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def task(key, pdf):
-        pdf = pdf.sort_values("_row", ignore_index=True)
-        sequence, offset = pack(pdf[length].to_numpy("int64"), capacity, exchanges)
-        fill = np.bincount(sequence, weights=pdf[length])
-        pdf["sequence_id"] = (np.int64(round_) << 60) + (np.int64(key[0]) << 24) + sequence
-        pdf["offset"], pdf["_fill"] = offset, fill[sequence].astype("int64")
-        return pdf.drop(columns="_group")
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("sequence_id bigint, offset bigint, _fill bigint").fields])
+
+    def task(key, table):
+        # Arrow keeps every column as it is; a data frame would turn whole numbers beside a null into doubles.
+        table = table.drop_columns("_group").sort_by("_row")
+        lengths = table[length].to_numpy().astype("int64")
+        sequence, offset = pack(lengths, capacity, exchanges)
+        fill = np.bincount(sequence, weights=lengths).astype("int64")
+        number = (np.int64(round_) << 60) + (np.int64(key[0].as_py()) << 24) + sequence
+        for name, values in (("sequence_id", number), ("offset", offset), ("_fill", fill[sequence])):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        return table
 
     dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(task, schema + ", sequence_id bigint, offset bigint, _fill bigint")
+    return dealt.groupBy("_group").applyInArrow(task, schema)
 
 
 def packed(

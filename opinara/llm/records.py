@@ -152,16 +152,20 @@ def read(index: DataFrame, keep: tuple[str, ...] = (), with_ids: bool = True) ->
     schema = ", ".join([*[f"{c} {types[c]}" for c in keep], "doc_id bigint, n_tokens bigint, ids_crc32 bigint",
                         *(["ids array<bigint>"] if with_ids else [])])
 
-    def task(batches):
-        import pandas as pd
+    made = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
 
+    def task(batches):
         for batch in batches:
-            out = []
-            for e, doc, ids in records(batch.to_pylist()):
-                row = [*[e[c] for c in keep], doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())]
-                out.append([*row, ids.astype("int64")] if with_ids else row)
-            frame_ = pd.DataFrame(out, columns=[*keep, "doc_id", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
-            frame_["doc_id"] = frame_["doc_id"].astype("Int64")
-            yield pa.RecordBatch.from_pandas(frame_, preserve_index=False)
+            entries, out, ids_of = batch.to_pylist(), [], []
+            for _, doc, ids in records(entries):
+                out.append((doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                if with_ids:
+                    ids_of.append(ids.astype("int64"))
+            columns = zip(*out) if out else [[]] * len(made)
+            arrays = [*[batch.column(c) for c in keep], *[pa.array(c, t) for c, (_, t) in zip(columns, made)]]
+            names = [*keep, *[n for n, _ in made]]
+            if with_ids:
+                arrays, names = [*arrays, pa.array(ids_of, pa.list_(pa.int64()))], [*names, "ids"]
+            yield pa.record_batch(arrays, names=names)
 
     return index.select("file", "offset", "n_bytes", *keep).mapInArrow(task, schema)

@@ -107,3 +107,12 @@ def test_search_ends_only_without_exchanges(capacity, low, high, n, seed):
     for length, s in zip(lengths.tolist(), sequence):
         held[s].append(length)
     assert used == -(-lengths.sum() // capacity) or improving(list(held.values()), capacity) is None
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "one two three") for i in ids], "doc_id bigint, text string").coalesce(1)
+    out = packing.packed(packing.pieces(docs, P.path("word_bpe_49k.json"), 1)).collect()
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in out)
+    rows = spark.createDataFrame([("a", None, 3), (None, 2**60 + 1, 4)], "id string, big bigint, length int")
+    assert sorted((r["id"] or "", r["big"]) for r in packing.packed(rows, capacity=10).collect()) == [("", 2**60 + 1), ("a", None)]

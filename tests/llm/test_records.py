@@ -46,3 +46,11 @@ def test_shuffled_reads(spark, documents):
 def test_empty(no_documents):
     index = records.write(no_documents, P.path("byte_bpe_50k.json"), 2)
     assert records.read(records.with_start(index), keep=("start",)).collect() == []
+
+
+def test_large_ids_beside_nulls_stay_exact(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "one two three") for i in ids], "doc_id bigint, text string").coalesce(1)
+    index = records.with_start(records.write(docs, P.path("byte_bpe_50k.json"), 2))
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in records.read(index, keep=("start",)).collect())
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in records.read(index.coalesce(1), with_ids=False).collect())
