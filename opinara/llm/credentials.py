@@ -1,8 +1,11 @@
 """Secrets in texts, weighed by how many owners hold the same value.
 
 Patterns give candidate spans. The hash of each candidate value is counted by distinct repositories and owners over
-the whole corpus: a value that several owners hold is an example copied around, a value of one owner looks live. The
-listed base kinds are reported either way, with their verdict; the looser kind is reported only when it looks live.
+the whole corpus, and both counts decide: a value is a copied example when it stands in more than ``MAX_REPOS``
+repositories of more than ``MAX_OWNERS`` owners, or in more than ``MANY_REPOS`` repositories whoever owns them; any other
+value belongs to few and looks live. Repositories whose text is the same count once, so a copied document makes no
+example of the key inside it. The listed base kinds are reported either way, with their verdict; the looser kind is
+reported only when it looks live.
 
 Defined cases: a null text is empty; rows equal in id and text are one document and get the same spans; a null owner
 or repository counts as one further owner or repository; overlapping kinds are all reported; an empty table gives an
@@ -45,8 +48,10 @@ KINDS = (
     Kind("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", 0, 16),
     Kind("random", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", 0, 20, base=False, also=("[A-Z]", "[a-z]", "[0-9]")),
 )
-#: A value held by more owners than this is a copied example.
-MAX_OWNERS = 1
+#: A value of more owners and more repositories than this is a copied example,
+MAX_OWNERS, MAX_REPOS = 2, 3
+#: and so is one of more repositories than this, whatever their owners.
+MANY_REPOS = 20
 
 
 def matches(text: Column, kind: Kind, place: int) -> Column:
@@ -89,24 +94,26 @@ def candidates(df: DataFrame, doc_id: str, text: str, owner: str, repo: str, kin
 
 def ownership(found: DataFrame) -> DataFrame:
     """Distinct owners and repositories per value, counted in steps that combine before each shuffle."""
-    holders = found.groupBy("value_hash", "_owner", "_repo").agg(F.lit(1).alias("_one"))
-    owners = holders.groupBy("value_hash", "_owner").agg(F.count("*").alias("_repos"))
-    return owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("_repos").alias("n_repos"))
+    owners = found.groupBy("value_hash", "_owner").agg(F.lit(1).alias("_one")).groupBy("value_hash").agg(F.count("*").alias("n_owners"))
+    texts = found.groupBy("value_hash", "_key").agg(F.min("_repo").alias("_repo"))
+    repos = texts.groupBy("value_hash", "_repo").agg(F.lit(1).alias("_one")).groupBy("value_hash").agg(F.count("*").alias("n_repos"))
+    return owners.join(repos, "value_hash")
 
 
 def scan(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id",
-    kinds: tuple[Kind, ...] = KINDS, max_owners: int = MAX_OWNERS,
+    kinds: tuple[Kind, ...] = KINDS, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, many_repos: int = MANY_REPOS,
 ) -> DataFrame:
     """The rows of ``df`` with ``spans``: array of (start, end, place, kind, n_owners, n_repos, live), by start and kind.
 
-    Candidates are written once, so the texts are searched a single time. A value that a third of all rows hold is
-    counted by partial sums; its spans are joined to the counts as narrow rows, which adaptive execution can split.
+    A value that a third of all rows hold is counted by partial sums; its spans are joined to the counts as narrow rows,
+    which adaptive execution can split.
     """
     found = measured(candidates(df, doc_id, text, owner, repo, kinds), "candidates")
     names = F.array(*[F.lit(k.name) for k in kinds])
     base = F.array(*[F.lit(k.base) for k in kinds])
-    rated = found.join(ownership(found), "value_hash").withColumn("live", F.col("n_owners") <= max_owners)
+    copied = ((F.col("n_owners") > max_owners) & (F.col("n_repos") > max_repos)) | (F.col("n_repos") > many_repos)
+    rated = found.join(ownership(found), "value_hash").withColumn("live", ~copied)
     kept = rated.where(F.get(base, F.col("place")) | F.col("live"))
     spans = kept.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct(
         "start", "place", "end", F.get(names, F.col("place")).alias("kind"), F.get(base, F.col("place")).alias("base"),

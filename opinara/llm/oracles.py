@@ -47,17 +47,20 @@ def secrets_sql() -> str:
     parts = []
     for i, (name, pattern, group, least, also) in enumerate(kinds):
         parts.append(rf"""
-  SELECT doc_id, source, {i} AS place, '{name}' AS kind, start, start + length(f[i]) AS stop, v[i] AS value FROM (
-    SELECT doc_id, source, f, v, i, list_sum(list_transform(g[1:i], lambda x: length(x)))
+  SELECT doc_id, source, {i} AS place, '{name}' AS kind, start, start + length(f[i]) AS stop, v[i] AS value, k FROM (
+    SELECT doc_id, source, k, f, v, i, list_sum(list_transform(g[1:i], lambda x: length(x)))
            + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start
-    FROM (SELECT doc_id, source, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS v,
+    FROM (SELECT doc_id, source, hash(t) AS k, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS v,
                  string_split_regex(t, '{pattern}') AS g, unnest(range(1, len(f) + 1)) AS i FROM d))
   WHERE length(value) >= {least} AND {also}""")
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 s AS ({' UNION ALL '.join(parts)}),
-o AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS n FROM s GROUP BY value),
-k AS (SELECT s.*, o.n <= {credentials.MAX_OWNERS} AS live FROM s JOIN o ON o.value = s.value WHERE place < 3 OR o.n <= {credentials.MAX_OWNERS}),
+o AS (
+  SELECT value, NOT ((owners > {credentials.MAX_OWNERS} AND repos > {credentials.MAX_REPOS}) OR repos > {credentials.MANY_REPOS}) AS live
+  FROM (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS owners, count(DISTINCT k) AS repos FROM s GROUP BY value)
+),
+k AS (SELECT s.*, o.live FROM s JOIN o ON o.value = s.value WHERE place < 3 OR o.live),
 a AS (
   SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
