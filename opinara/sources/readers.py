@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara import schemas, vocab
 from opinara.functions import calendar, keywords, text
 from opinara.operators import relevance, shaping
+from opinara.sources import records
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+#: What stands for NULL in a file, so that an empty text stays one. A text that looks like it carries one more backslash.
+NULL_MARK = "\\N"
 RAW_SCHEMAS = {vocab.PLATFORM_A: schemas.RAW_A, vocab.PLATFORM_B: schemas.RAW_B}
 
 
@@ -28,8 +31,19 @@ def _checked(reader, path: str) -> DataFrame:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return _checked(spark.read.schema(schema).options(**CSV_OPTIONS).csv, path)
+def read_csv(spark: SparkSession, path: str, schema: str, mark: str = NULL_MARK, header: bool = True, with_order: bool = False) -> DataFrame:
+    """Rows of delimited files; quoted fields may hold line breaks, and one file is still read by many tasks.
+
+    An empty field is NULL, an empty field in quotes an empty text. With ``mark=""`` both are NULL, and no text is taken
+    for a marked one. ``with_order`` adds source_file, block_start and row_order, which order rows as they stand in files.
+    """
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": mark, "emptyValue": ""}
+    rows = records.parsed(_checked(lambda p: records.records(spark, p), path), schema, options, header)
+    if mark:
+        rows = rows.withColumns({
+            f.name: F.regexp_replace(f.name, r"^\\(\\+N)$", "$1") for f in T._parse_datatype_string(schema).fields if f.dataType == T.StringType()
+        })
+    return rows if with_order else rows.drop("source_file", "block_start", "row_order")
 
 
 def read_platform(spark: SparkSession, path: str, platform: str, fmt: str = "csv") -> DataFrame:
