@@ -8,7 +8,7 @@ from opinara.functions import text
 from opinara.queries import tables as t
 from opinara.queries.registry import query
 from opinara.session import scratch_path
-from opinara.streaming import ingest
+from opinara.streaming import ingest, relevant
 
 
 def _stream(spark, sf):
@@ -42,3 +42,32 @@ def n01_turns(spark, sf):
         kept = cleaned.where(text.word_count("c", collapsed=True).between(10, 300))
         done = ingest.run_available(kept.groupBy("role").agg(F.count("*").alias("n")), ["role"], out, state)
     return done.counts
+
+
+_COLLECTED = f"""WITH c AS (SELECT conv_id * 1000 + turn AS seq, 'v' || (conv_id % 40) AS video, conv_id % 3 AS part,
+    (((conv_id * 1000 + turn) * 37) % 201 - 100) / 100.0::DOUBLE AS compound, {t.s_platform_b('text')} AS body FROM conversations),
+  k AS (SELECT * FROM c WHERE {t.s_relevant_b('body', 'compound')}),
+  f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY body ORDER BY part, seq) = 1),
+  l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video ORDER BY part, seq) <= 5)
+  SELECT seq, video, body, (SELECT count(*) FROM k) - (SELECT count(*) FROM f) AS n_repeated,
+    (SELECT count(*) FROM f) - (SELECT count(*) FROM l) AS n_capped FROM l"""
+
+
+@query("n01_collected_turns", _COLLECTED)
+def n01_collected(spark, sf):
+    """Turns that pass the relevance rule, each text once and five per video, arriving in three runs of one stream."""
+    seq, part = F.col("conv_id") * 1000 + F.col("turn"), F.col("conv_id") % 3
+    rows = t.table(spark, sf, "conversations").select(
+        seq.alias("seq"), F.concat(F.lit("v"), F.col("conv_id") % 40).alias("video"),
+        F.timestamp_seconds(F.lit(1609459200) + part * 86400).alias("ts"), F.col("text").alias("body"),
+        (((seq * 37) % 201 - 100) / F.lit(100.0)).alias("compound"), part.alias("part"),
+    )
+    folder, out, state = (scratch_path(spark, name) for name in ("comments", "collected", "collected-state"))
+    schema = rows.drop("part").schema
+    for p in range(3):
+        rows.where(F.col("part") == p).drop("part").write.mode("append").parquet(folder)
+        stream = ingest.open_stream(spark, folder, schema)
+        done = relevant.run(relevant.collected(stream, "video", "body", "compound", "ts", "seq", "30 days", 5, **t.RULE_B), out, state)
+    n = {r["verdict"]: r["n"] for r in done.verdicts.collect()}
+    counts = {f"n_{v}": F.lit(n.get(v, 0)).cast("bigint") for v in (relevant.REPEATED, relevant.CAPPED)}
+    return done.kept.select("seq", "video", "body").withColumns(counts)

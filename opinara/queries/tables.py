@@ -13,6 +13,7 @@ LABELS = vocab.LABELS
 AI_WORDS = ["the", "der", "la"]
 OPINION_WORDS = ["that", "que", "und"]
 SOCIETAL_WORDS = ["with", "pour", "best"]
+RULE_B = {"ai": (["is", "der", "la"], ["of the"]), "opinion": OPINION_WORDS, "societal": SOCIETAL_WORDS}
 LEXICON = [
     ("that", 1.5), ("was", -1.2), ("with", 0.8), ("der", -0.9), ("que", 1.1), ("und", 0.6), ("les", -0.7),
     ("for", 2.0), ("no", -1.2), ("best", 3.2), ("it", -0.4), ("on", 0.3),
@@ -270,6 +271,16 @@ def s_hits(c: str) -> str:
     return "(" + " + ".join(f"CAST(contains(lower({c}), {q(k)}) AS INTEGER)" for k in vocab.FEATURE_AI_KEYWORDS) + ")"
 
 
+def s_relevant_b(c: str, compound: str) -> str:
+    """The relevance rule of platform B on cleaned text, over the stand-in words."""
+    sentence = f"length({s_replace('s', f'^{SPACE}+|{SPACE}+$')}) > 5"
+    return (
+        f"{s_words(c)} BETWEEN 10 AND 300 AND len(list_filter(string_split_regex({c}, '[.!?]+'), lambda s: {sentence})) >= 1 "
+        f"AND ({s_word(c, RULE_B['ai'][0])} OR {s_any(c, RULE_B['ai'][1])}) "
+        f"AND ({s_any(c, OPINION_WORDS)} OR {s_any(c, SOCIETAL_WORDS)}) AND {s_subjectivity(c, compound)} >= 0.15"
+    )
+
+
 def s_subjectivity(c: str, compound: str) -> str:
     found = " + ".join(f"CAST({s_word(c, g)} AS INTEGER) * 0.125::DOUBLE" for g in vocab.SUBJECTIVE_GROUPS)
     return f"least({found} + abs({compound}) * 0.5::DOUBLE, 1.0::DOUBLE)"
