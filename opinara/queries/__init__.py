@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "sources", "shaping", "filters", "aggregates", "order", "scalars", "polarity", "features", "models", "metrics", "stream",
+    "sources", "shaping", "filters", "aggregates", "order", "scalars", "polarity", "features", "models", "metrics", "stream", "collection",
 )
 
 

@@ -69,6 +69,13 @@ amp AS (SELECT doc_id, text, s + CASE WHEN s > 0 THEN e WHEN s < 0 THEN -e ELSE
 scored AS (SELECT doc_id, text, round(greatest(least(s / sqrt(s * s + 15), 1.0::DOUBLE), -1.0::DOUBLE), 4) AS compound, CASE WHEN p + n + u = 0 THEN 0.0 ELSE round(p / (p + n + u), 3) END AS positive,
   CASE WHEN p + n + u = 0 THEN 0.0 ELSE round(n / (p + n + u), 3) END AS negative, CASE WHEN p + n + u = 0 THEN 0.0 ELSE round(u / (p + n + u), 3) END AS neutral FROM amp)"""
 
+RULES = _RULES
+
+
+def scores_sql(source: str) -> str:
+    """CTEs up to ``scored`` over any rows (doc_id, text)."""
+    return _SCORES_SQL.replace("FROM documents)", f"FROM {source})")
+
 
 @query("j01_token_valences", f"{_TOKENS_SQL} SELECT doc_id, CAST(pos - 1 AS INTEGER) AS position, token, round(v, 6) AS valence FROM r5")
 def j01_tokens(spark, sf):

@@ -34,8 +34,7 @@ VIDEOS = (
     "items array<struct<id: string, snippet: struct<title: string, description: string, publishedAt: string, "
     "channelTitle: string>, statistics: struct<viewCount: string, likeCount: string, commentCount: string>>>"
 )
-# The replies of a comment stay JSON text, so trees of any depth fit one schema.
-COMMENT = "array<struct<id: string, body: string, score: bigint, created_utc: double, replies: string>>"
+# Comments stay JSON text, so trees of any depth fit one schema.
 POSTS = (
     "id string, title string, selftext string, subreddit string, score bigint, upvote_ratio double, "
     "num_comments bigint, created_utc double, is_self boolean, comments string"

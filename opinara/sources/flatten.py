@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara import schemas, vocab
+from opinara import vocab
 from opinara.functions import calendar
 from opinara.operators.relevance import present_body
-from opinara.session import shared_dir
+from opinara.operators.sizing import measured
 
 
 def flatten_threads(threads: DataFrame) -> DataFrame:
@@ -59,31 +59,59 @@ def post_metadata(posts: DataFrame) -> DataFrame:
     )
 
 
-def flatten_comment_trees(posts: DataFrame) -> DataFrame:
+#: Levels of replies unfolded in one pass over the rows.
+LEVELS = 64
+
+
+def unfolded(branches: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(post_id, first, comments, rest): the comments of so many levels of each tree, and the branches below them.
+
+    A branch is an array of parsed comments. The tree is walked inside the row, level by level, on its parsed form.
+    """
+    branch = "array<variant>"
+    comment = "struct<level:int,id:string,body:string,score:bigint,created_utc:double,num_replies:int>"
+
+    def replies(c):
+        return F.try_variant_get(c, "$.replies", branch)
+
+    def fields(c, level):
+        def take(name, kind):
+            return F.try_variant_get(c, f"$.{name}", kind).alias(name)
+
+        return F.struct(level.cast("int").alias("level"), take("id", "string"), take("body", "string"), take("score", "bigint"),
+                        take("created_utc", "double"), F.coalesce(F.size(replies(c)), F.lit(0)).alias("num_replies"))
+
+    def down(state, level):
+        here = state["rest"]
+        below = F.flatten(F.filter(F.transform(here, replies), lambda r: r.isNotNull()))
+        return F.struct(F.concat(state["comments"], F.transform(here, lambda c: fields(c, level))).alias("comments"), below.alias("rest"))
+
+    start = F.struct(F.array().cast(f"array<{comment}>").alias("comments"), F.col("branch").alias("rest"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, down)
+    return branches.select("post_id", "first", walked.alias("_w")).select("post_id", "first", "_w.comments", "_w.rest")
+
+
+def flatten_comment_trees(posts: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Platform A comment trees of any depth: one row per comment with its direct reply count.
 
-    One level is unfolded at a time until a level is empty. Each level is checkpointed to the shared folder,
-    so the next one starts from its rows and not from the source again.
+    A tree is parsed once and unfolded in its row. Only where one is deeper than ``levels``, what lies below is
+    written and unfolded in the same way, so depth costs a job per ``levels`` levels and never a second parse.
     """
-    shared_dir(posts.sparkSession)
-    levels = []
-    frontier = posts.select(F.col("id").alias("post_id"), F.col("comments").alias("branch"))
+    parsed = F.try_variant_get(F.try_parse_json("comments"), "$", "array<variant>")
+    branches = posts.select(F.col("id").alias("post_id"), F.lit(0).alias("first"), F.coalesce(parsed, F.array().cast("array<variant>")).alias("branch"))
+    found = []
     while True:
-        comment = frontier.where(F.col("branch").isNotNull() & (F.col("branch") != "")).select(
-            "post_id", F.explode(F.from_json("branch", schemas.COMMENT)).alias("c")
-        )
-        level = comment.select("post_id", "c.*").withColumn("depth", F.lit(len(levels))).checkpoint()
-        if level.isEmpty():
+        walked = measured(unfolded(branches, levels), "trees")
+        found.append(walked.select("post_id", "first", F.explode("comments").alias("c")))
+        rest = walked.where(F.size("rest") > 0)
+        if rest.isEmpty():
             break
-        levels.append(level)
-        frontier = level.where(F.col("replies").isNotNull() & (F.col("replies") != "")).select("post_id", F.col("replies").alias("branch"))
-    levels = levels or [level]
-    rows = reduce(lambda a, b: a.unionByName(b), levels)
-    replies = F.coalesce(F.size(F.from_json("replies", schemas.COMMENT)), F.lit(0))
-    return rows.where(present_body("body")).select(
-        "post_id", "depth", F.col("body").alias("text"), F.col("score").alias("likes"),
-        F.when(F.col("replies").isNull() | (F.col("replies") == ""), 0).otherwise(replies).alias("num_replies"),
-        calendar.iso_text(calendar.from_epoch("created_utc")).alias("created_utc"),
-        F.concat(F.lit("reddit_comment_"), "id").alias("source_id"),
+        branches = rest.select("post_id", (F.col("first") + levels).alias("first"), F.col("rest").alias("branch"))
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.where(present_body("c.body")).select(
+        "post_id", (F.col("first") + F.col("c.level")).alias("depth"), F.col("c.body").alias("text"), F.col("c.score").alias("likes"),
+        F.col("c.num_replies").alias("num_replies"),
+        calendar.iso_text(calendar.from_epoch("c.created_utc")).alias("created_utc"),
+        F.concat(F.lit("reddit_comment_"), "c.id").alias("source_id"),
         F.lit(vocab.PLATFORM_A).alias("source"),
     )

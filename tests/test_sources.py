@@ -72,6 +72,25 @@ def test_comment_trees_of_any_depth(spark):
         (0, "one", 1), (1, "below deleted", 0), (1, "two", 1), (2, "three", 1), (3, "four", 1), (4, "five", 0)]
 
 
+@pytest.mark.parametrize("levels", [1, 7, 50, 64])
+def test_a_chain_of_fifty_replies(spark, levels):
+    deep = comment("c49", "49")
+    for i in reversed(range(49)):
+        deep = comment(f"c{i}", str(i), [deep, comment(f"d{i}", f"side {i}")])
+    posts = [("p", json.dumps([deep])), ("none", None), ("empty", "[]"), ("broken", "{"), ("text", '""'), ("null", "null")]
+    out = flatten.flatten_comment_trees(spark.createDataFrame(posts, "id string, comments string"), levels).collect()
+    assert {(r["depth"], r["text"]) for r in out} == {(i, str(i)) for i in range(50)} | {(i + 1, f"side {i}") for i in range(49)}
+    assert {r["num_replies"] for r in out if r["text"].isdigit() and r["depth"] < 49} == {2} and {r["post_id"] for r in out} == {"p"}
+
+
+def test_replies_of_other_kinds(spark):
+    tree = [{"id": "a", "body": "one", "replies": ""}, {"id": "b", "body": "two", "replies": None, "score": "7"}, {"id": "c", "body": 3},
+            {"id": "d", "body": "x", "replies": [comment("e", "[removed]"), comment("f", "")]}, None, "odd"]
+    out = flatten.flatten_comment_trees(spark.createDataFrame([("p", json.dumps(tree))], "id string, comments string")).collect()
+    assert sorted((r["text"], r["num_replies"], r["likes"]) for r in out if r["text"] != "x") == [("3", 0, None), ("one", 0, None), ("two", 0, 7)]
+    assert [(r["num_replies"], r["depth"]) for r in out if r["text"] == "x"] == [(2, 0)]
+
+
 def test_prepare_small_tables(spark):
     a = [raw(spark, schemas.RAW_A, text=t, subreddit=s, created_utc=c, likes=l, num_replies=2, sentiment_polarity=p) for t, s, c, l, p in [
         ("Same text!", "one", "2024-03-04T05:06:07+00:00", 3, 0.5), ("https://only.link", "one", "bad", 0, 0.0), ("Other? text.", "two", "2023-01-01T00:00:00+00:00", -9, -0.7)]]
