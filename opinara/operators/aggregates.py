@@ -79,12 +79,25 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    return exact_quantiles(df, [], columns, {"median": 0.5})
+    """Exact medians. The columns are computed once and written, as finding a rank reads them more than once."""
+    return exact_quantiles(measured(df.select(*columns), "values"), [], columns, {"median": 0.5})
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(*[count(F.col(c)).alias(c) for c in columns])
+    """Number of distinct values of each column, nulls not counted.
+
+    Rows become (column, digest) pairs inside the task, which combines equal ones before the shuffle; no row is copied
+    with all its columns for each of them, and long texts do not move.
+    """
+    if approximate:
+        return df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns])
+    doubles = [f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in ("float", "double")]
+    df = df.select(*columns).withColumns({c: F.col(c) + F.lit(0.0).cast(df.schema[c].dataType) for c in doubles})  # -0.0 is 0.0
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.when(F.col(c).isNotNull(), row_digest(c)).alias("d")) for i, c in enumerate(columns)
+    ])).alias("_p")).select("_p.c", "_p.d")
+    each = pairs.where(F.col("d").isNotNull()).groupBy("c", "d").agg(F.lit(1).alias("_one")).groupBy("c").agg(F.count("*").alias("n"))
+    return each.agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("n"))), F.lit(0)).alias(c) for i, c in enumerate(columns)])
 
 
 def missing_report(df: DataFrame, only_missing: bool = False) -> DataFrame:
@@ -211,7 +224,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, by_v
 
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per class: range, exact quartiles, Tukey whiskers and the number of outliers."""
-    rows = df.where(F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("value"))
+    rows = measured(df.where(F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("value")), "values")
     quartiles = exact_quantiles(rows, [by], ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("measure")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = quartiles.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)

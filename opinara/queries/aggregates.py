@@ -288,6 +288,8 @@ def e31(spark, sf):
 _CLOUD = f"""list_filter(list_transform(regexp_extract_all(lower(text), '[{t.W}][{t.W}'']+'), lambda w: regexp_replace(w, '''s$', '')),
     lambda w: NOT regexp_matches(w, '^\\p{{N}}*$') AND w NOT IN ({t.in_list(vocab.STOP_WORDS)}))"""
 
+_ALL_WORDS = _CLOUD.replace(f" AND w NOT IN ({t.in_list(vocab.STOP_WORDS)})", "")
+
 
 def _cloud_sql(words_sql: str) -> str:
     return f"""WITH {t.COMMENTS}, w AS (SELECT label, {_CLOUD} AS words FROM comments),
@@ -305,6 +307,42 @@ def e32_pairs(spark, sf):
     return words.word_frequencies(t.comments(spark, sf), "label", "text", vocab.STOP_WORDS, 100, pairs=True)
 
 
+def _likelihood(k: str, n: str, x: str) -> str:
+    return f"(ln(greatest({x}, 1e-10)) * ({k}) + ln(greatest(1 - ({x}), 1e-10)) * (({n}) - ({k})))"
+
+
+def _plurals(name: str, source: str) -> str:
+    single = "ends_with(a.term, 's') AND NOT ends_with(a.term, 'ss') AND b.term = left(a.term, length(a.term) - 1)"
+    return f"{name} AS (SELECT a.label, a.term, coalesce(b.term, a.term) AS form, a.n FROM {source} a LEFT JOIN {source} b ON a.label = b.label AND {single})"
+
+
+_RATIO = f"""-2 * ({_likelihood('p.n', 'a.n', 'b.n / total')} + {_likelihood('b.n - p.n', 'total - a.n', 'b.n / total')}
+    - {_likelihood('p.n', 'a.n', 'p.n / a.n')} - {_likelihood('b.n - p.n', 'total - a.n', '(b.n - p.n) / (total - a.n)')})"""
+_STOPPED = t.in_list(vocab.STOP_WORDS)
+
+
+@query("e32_cloud_terms", f"""WITH {t.COMMENTS}, w AS (SELECT label, {_ALL_WORDS} AS words FROM comments),
+  u AS (SELECT label, term, count(*) AS n FROM (SELECT label, unnest(words) AS term FROM w) WHERE term NOT IN ({_STOPPED}) GROUP BY ALL),
+  {_plurals('s', 'u')}, f AS (SELECT label, form, sum(n) AS n FROM s GROUP BY ALL), tot AS (SELECT label, sum(n) AS total FROM f GROUP BY label),
+  b0 AS (SELECT label, x[1] || ' ' || x[2] AS term, count(*) AS n FROM (
+    SELECT label, unnest(list_transform(range(1, len(words)), lambda i: [words[i], words[i + 1]])) AS x FROM w)
+    WHERE x[1] NOT IN ({_STOPPED}) AND x[2] NOT IN ({_STOPPED}) GROUP BY ALL),
+  {_plurals('b1', 'b0')}, pr AS (SELECT label, form AS pair, sum(n) AS n FROM b1 GROUP BY ALL),
+  strong AS (
+    SELECT p.label, p.pair, p.n, x.form AS first, y.form AS second FROM pr p
+    JOIN s x ON x.label = p.label AND x.term = split_part(p.pair, ' ', 1) JOIN s y ON y.label = p.label AND y.term = split_part(p.pair, ' ', 2)
+    JOIN f a ON a.label = p.label AND a.form = x.form JOIN f b ON b.label = p.label AND b.form = y.form JOIN tot ON tot.label = p.label
+    WHERE total > a.n AND total > b.n AND {_RATIO} > {words.PAIR_SCORE}
+  ), parts AS (
+    SELECT * FROM f UNION ALL SELECT label, first, -n FROM strong UNION ALL SELECT label, second, -n FROM strong UNION ALL SELECT label, pair, n FROM strong
+  ), final AS (SELECT label, form AS word, CAST(sum(n) AS BIGINT) AS n FROM parts GROUP BY ALL HAVING sum(n) > 0)
+  SELECT label, word, n, CAST(row_number() OVER (PARTITION BY label ORDER BY n DESC, word) AS INTEGER) AS rank FROM final
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, word) <= 100""")
+def e32_cloud(spark, sf):
+    """The terms of a word cloud per class: plurals merged, strong pairs as terms of their own."""
+    return words.cloud_frequencies(t.comments(spark, sf), "label", "text", vocab.STOP_WORDS, 100)
+
+
 @query("e33_run_summary", f"WITH {t.FEATURES} " + _by_rows(
     ["SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM features", "SELECT 'unique_community', CAST(count(DISTINCT community) AS DOUBLE) FROM features"]
     + [f"SELECT 'mean_{c}', {_r(f'avg({c})')} FROM features" for c in ("compound", "word_count", "likes")]

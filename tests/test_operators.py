@@ -180,3 +180,23 @@ def test_best_group_ties_go_to_the_smallest_key(spark):
     df = rows(spark, [("b", 2.0), ("a", 2.0), ("c", 1.0)], "k string, v double")
     assert aggregates.best_group(df, "k", "v").first()["k"] == "a"
     assert aggregates.best_group(df, "k", "v", largest=False).first()["k"] == "c"
+
+
+def test_distinct_counts_without_copies_of_rows(spark):
+    rows = [(1, "a", 0.0, None), (1, "a", -0.0, None), (2, None, float("nan"), None), (None, "", float("nan"), None)]
+    df = spark.createDataFrame(rows, "i int, s string, d double, n string")
+    out = aggregates.distinct_counts(df, ["i", "s", "d", "n"])
+    assert out.first().asDict() == {"i": 2, "s": 2, "d": 2, "n": 0}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert aggregates.distinct_counts(df.limit(0), ["i", "s"]).first().asDict() == {"i": 0, "s": 0}
+
+
+def test_cloud_terms(spark):
+    from opinara.operators import words
+
+    texts = ["red cats the red cat's cat and glass"] * 20 + [f"word{chr(97 + i)}{chr(97 + j)} x other" for i in range(20) for j in range(9)] + [None, "", "42"]
+    df = spark.createDataFrame([("k", x) for x in texts] + [(None, "none")], "label string, text string")
+    out = {r["word"]: r["n"] for r in words.cloud_frequencies(df, "label", "text", ["the", "and"], 300).collect()}
+    # "red cats" and "red cat" count as one pair and take their words with them, what is left of "cat" stays.
+    assert out["red cat"] == 40 and "red" not in out and "cats" not in out and out["cat"] == 20
+    assert out["glass"] == 20 and "42" not in out and "the" not in out and out["other"] == 180
