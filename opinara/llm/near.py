@@ -120,9 +120,9 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
         task, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, similarity: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A text that many pairs share is copied to parts of them."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    texts = texts.select(F.col("node").alias("_doc"), "_text")
     stars = measured(pairs.groupBy("a").agg(F.floor((F.count("*") - 1) / STAR_PART).cast("int").alias("_last")), "stars")
     left = stars.join(texts, stars["a"] == texts["_doc"]).select(
         "a", F.explode(F.sequence(F.lit(0), "_last")).alias("_part"), F.col("_text").alias("_ta"))
@@ -139,10 +139,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: i
                 if ta != known:
                     known, mine = ta, shingle_set(words(ta), size)
                 other = shingle_set(words(tb.as_py()), size)
-                if 100 * min(len(mine), len(other)) >= similarity * max(len(mine), len(other)):
-                    if similar(len(mine), len(other), len(mine & other), similarity):
-                        links[0].append(a.as_py())
-                        links[1].append(b.as_py())
+                if similar(len(mine), len(other), len(mine & other), similarity):
+                    links[0].append(a.as_py())
+                    links[1].append(b.as_py())
             yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
     return both.mapInArrow(task, "a bigint, b bigint").distinct()
@@ -186,7 +185,7 @@ def compare(rows: list[tuple], size: int, similarity: int) -> list[tuple[int, in
     return links
 
 
-def across(tested: DataFrame, placed: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, similarity: int) -> DataFrame:
+def across(tested: DataFrame, placed: DataFrame, texts: DataFrame, size: int, similarity: int) -> DataFrame:
     """Links (a, b) that the stars have missed: between components of the members of one centre.
 
     ``tested``: the pairs (a, b) of centres and members, ``placed``: (node, component). The largest component of a
@@ -218,7 +217,6 @@ def across(tested: DataFrame, placed: DataFrame, docs: DataFrame, doc_id: str, t
         .otherwise(F.concat(looking, looked_at, others(F.col("ps") - F.col("_own"), lambda k: place(F.col("pm") + F.col("_own") + k, F.col("_own"), 0))))
     )
     dealt = met.select("a", "node", "component", F.explode(blocks).alias("_b")).select("a", "node", "component", "_b.*")
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text"))
     full = dealt.join(texts, "node").select("a", "i", "j", "node", "component", "role", "_text")
 
     def task(table):
@@ -258,16 +256,23 @@ def link(
     found = measured(signed(docs, doc_id, text, size), "signed")
     real = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # One node for each word sequence, whatever the number of its copies.
-    nodes = measured(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("_last"))
-    centres = centres.where(F.col("centre") != F.col("_last")).drop("_last")
+    nodes = measured(real.groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "nodes")
+    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    centres = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("_c"), F.max("node").alias("_last"))
+    centres = centres.where(F.col("_c.node") != F.col("_last")).select("bucket", F.col("_c.node").alias("centre"), F.col("_c.n").alias("_n"))
     star = members.join(centres, "bucket").where(F.col("node") != F.col("centre"))
-    tested = measured(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = measured(confirmed(tested, docs, doc_id, text, size, similarity), "links")
+    # Sets whose sizes differ too much cannot be similar; their texts need not meet.
+    may = 100 * F.least("n", "_n") >= similarity * F.greatest("n", "_n")
+    tested = measured(star.select(F.col("centre").alias("a"), F.col("node").alias("b"), may.alias("may")).distinct(), "pairs")
+    # Only texts that share a bucket with another move; they are picked and written once.
+    met = measured(tested.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text"))
+    texts = measured(texts.join(met, "node", "left_semi"), "texts")
+    links = measured(confirmed(tested.where("may").select("a", "b"), texts, size, similarity), "links")
     closed = components(links)
     placed = nodes.select("node").distinct().join(closed, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    more = measured(across(tested, placed, docs, doc_id, text, size, similarity), "links")
+    more = measured(across(tested, placed, texts, size, similarity), "links")
     if more.take(1):
         closed = components(links.unionByName(more))
 
@@ -283,7 +288,7 @@ def link(
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: the one of smallest id of each component, once; rows without an id all stay."""
     rows = measured(link(docs, doc_id, text, size, similarity), "components")
-    dropped = rows.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    dropped = measured(rows.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
     stay = docs.join(dropped, F.col(doc_id) == F.col("_gone"), "left_anti")
     again = measured(rows.groupBy(F.col("doc_id").alias("_again")).count().where("count > 1 AND _again IS NOT NULL").select("_again"), "repeated")
     if not again.take(1):
