@@ -15,6 +15,8 @@ empty result; other columns pass through, save those named like a column added h
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,7 +109,8 @@ def scan(
     """The rows of ``df`` with ``spans``: array of (start, end, place, kind, n_owners, n_repos, live), by start and kind.
 
     A value that a third of all rows hold is counted by partial sums; its spans are joined to the counts as narrow rows,
-    which adaptive execution can split.
+    which adaptive execution can split. Rows that no pattern touches, most of a corpus, get no spans where they stand;
+    only the others are joined, so their texts alone may move.
     """
     found = measured(candidates(df, doc_id, text, owner, repo, kinds), "candidates")
     names = F.array(*[F.lit(k.name) for k in kinds])
@@ -119,8 +122,12 @@ def scan(
         "start", "place", "end", F.get(names, F.col("place")).alias("kind"), F.get(base, F.col("place")).alias("base"),
         "n_owners", "n_repos", "live",
     ))).alias("spans"))
-    plain = df.drop(*[c for c in ADDED if c in df.columns]).withColumns({"_id": F.col(doc_id), "_key": text_key(F.col(text))})
-    joined = equal_rows(plain, spans, ["_id", "_key"], "left").drop("_id", "_key")
+    spans = measured(spans, "spans")
+    plain = df.drop(*[c for c in ADDED if c in df.columns])
+    touched = F.coalesce(reduce(or_, [F.col(text).rlike(k.pattern) for k in kinds]), F.lit(False))
+    keyed = plain.where(touched).withColumns({"_id": F.col(doc_id), "_key": text_key(F.col(text))})
+    joined = equal_rows(keyed, spans, ["_id", "_key"], "left").drop("_id", "_key")
+    joined = joined.unionByName(plain.where(~touched), allowMissingColumns=True)
     joined = joined.withColumn("spans", F.coalesce("spans", F.array().cast(joined.schema["spans"].dataType)))
     return joined.withColumns({
         "n_spans": F.size("spans").cast("long"),
