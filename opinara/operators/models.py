@@ -168,6 +168,48 @@ def top_importances(table: DataFrame, k: int = 20) -> DataFrame:
     return table.orderBy(F.desc("value"), "term").limit(k)
 
 
+def gradient_norms(fitted: Fitted, train: DataFrame, label: str, params: dict) -> tuple[float, float]:
+    """Length of the gradient of the regularised loss of a logistic regression: at its weights, and at no weights.
+
+    The loss has one minimum, where the gradient is zero, so the first over the second tells how far the solver got,
+    whatever it reports itself. One pass adds up residual times features of every class; the driver gets one number
+    per class and feature, as many as the model has weights.
+    """
+    import numpy as np
+    from pyspark.ml.stat import Summarizer
+
+    rows, weight = train, F.lit(1.0)
+    if params.get("class_weight") == "balanced":
+        rows = with_class_weight(rows, label)
+        weight = F.col("class_weight")
+    scored = fitted.classifier.transform(rows.select("features", F.col(label).alias("_y"), weight.alias("_w")))
+    values = vector_to_array("probability")
+    weights = fitted.classifier.coefficientMatrix.toArray()
+    labels = fitted.labels[:len(weights)]  # the last classes may not occur in training
+
+    def summed(part):
+        return Summarizer.metrics("sum").summary(F.col("features"), part)
+
+    sums = [F.sum("_w").alias("total"), F.count("*").alias("n"), summed(F.col("_w")).alias("all")]
+    for i, name in enumerate(labels):
+        actual = (F.col("_y") == name).cast("double")
+        for at, chance in (("end", F.get(values, F.lit(i))), ("start", F.lit(1 / len(labels)))):
+            residual = (chance - actual) * F.col("_w")
+            # Weights of a vector sum cannot be negative, so residuals are raised, and what that adds is taken off.
+            sums += [F.sum(residual).alias(f"{at}_{i}"), summed(residual + F.col("_w")).alias(f"{at}_{i}_raised")]
+    found = scored.agg(*sums).first()
+    penalty = 1.0 / (params.get("C", 1.0) * found["n"]) * weights
+
+    def length(at: str, extra) -> float:
+        lines = []
+        for i in range(len(labels)):
+            slope = found[f"{at}_{i}_raised"]["sum"].toArray() - found["all"]["sum"].toArray()
+            lines.append(np.append(slope / found["total"] + extra[i], found[f"{at}_{i}"] / found["total"]))
+        return float(np.linalg.norm(lines))
+
+    return length("end", penalty), length("start", 0 * penalty)
+
+
 def loss_history(spark: SparkSession, fitted: Fitted) -> DataFrame:
     """Training objective per iteration, as recorded by the optimiser."""
     history = fitted.classifier.summary.objectiveHistory

@@ -42,6 +42,12 @@ class Outcome:
     test: DataFrame
     feature_names: list[str]
     labels: list[str]
+    params: dict = field(default_factory=dict)
+
+    def gradient_left(self, label: str) -> float:
+        """How much of the loss's slope the solver has left over: 0 at the optimum, 1 without any fit."""
+        end, start = models.gradient_norms(self.fitted, self.train, label, self.params)
+        return end / start if start else 0.0
 
     def scores(self) -> DataFrame:
         return evaluate.scores(self.predictions, self.labels)
@@ -118,7 +124,7 @@ def run(
     made = made or features(df, row_id, text, label, s)
     fitted = models.fit(made.train, s.kind, labels, label, {**s.params, "seed": s.seed})
     predictions = measured(models.predict(fitted, made.test, [row_id, F.col(label).alias("actual")]), "predictions")
-    return Outcome(fitted, made.term_model, predictions, made.train, made.test, made.names, labels)
+    return Outcome(fitted, made.term_model, predictions, made.train, made.test, made.names, labels, s.params)
 
 
 def pick_best(df: DataFrame, row_id: str, text: str, label: str, labels: list[str], candidates: dict[str, Settings]) -> tuple[str, Outcome, DataFrame]:

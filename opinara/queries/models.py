@@ -36,9 +36,52 @@ def _class_rows(outcome):
     return sizes.join(rows, "label").select("label", "n_test", (F.col("_known") & F.col("precision") & F.col("recall") & F.col("f1")).alias("valid"))
 
 
-@query("l01_logistic_regression", _TEST_SIZES)
+#: Share of the slope of the loss that a finished fit may leave over; one iteration leaves more than half.
+GRADIENT_LEFT = 0.1
+
+
+@query("l01_logistic_regression", _TEST_SIZES.replace("true AS valid", "true AS valid, true AS converged"))
 def l01(spark, sf):
-    return _class_rows(_outcome(spark, sf))
+    """Test rows of each class, and whether the weights are those of the least loss."""
+    o = _outcome(spark, sf)
+    return _class_rows(o).withColumn("converged", F.lit(o.gradient_left("label") <= GRADIENT_LEFT))
+
+
+@query("l01_report")
+def l01_report(spark, sf):
+    """Precision, recall, F1 and support of every class and their means, accuracy and AUC, as the solver gives them."""
+    o = _outcome(spark, sf)
+    return o.report().select("*", o.scores().select("accuracy").scalar().alias("accuracy"), o.roc_auc().scalar().alias("roc_auc"),
+                             F.lit(o.gradient_left("label")).alias("gradient_left"))
+
+
+@query("l02_report")
+def l02_report(spark, sf):
+    return _outcome(spark, sf, "random_forest", _FOREST).report()
+
+
+@query("l03_report")
+def l03_report(spark, sf):
+    return _outcome(spark, sf, "svc", {**_BALANCED, "max_iter": 1000}).report()
+
+
+@query("l07_top_terms")
+def l07_top_terms(spark, sf):
+    """The ten largest coefficients of each class with their terms."""
+    o = _outcome(spark, sf)
+    return models.extreme_terms(models.coefficient_table(spark, o.fitted, o.feature_names), 10)
+
+
+@query("l06_scored_texts")
+def l06_scored_texts(spark, sf):
+    """Class, confidence and probabilities of every document, as the solver gives them."""
+    return score_texts(text_pipeline(_outcome(spark, sf)), t.table(spark, sf, "documents"), ["doc_id"], t.LABELS)
+
+
+@query("m12_history")
+def m12_history(spark, sf):
+    """Loss of every iteration."""
+    return models.loss_history(spark, _outcome(spark, sf).fitted)
 
 
 @query("l02_random_forest", _TEST_SIZES)

@@ -55,6 +55,33 @@ def test_saved_pipeline_scores_new_text(spark, texts):
     assert history[-1] < history[0]
 
 
+@pytest.mark.parametrize("balanced", [True, False])
+def test_gradient_shows_how_far_a_fit_got(spark, balanced):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    y = np.argmax(x[:, :3] + 0.8 * rng.normal(size=(200, 3)), axis=1) if balanced else (x[:, 0] > 0.9).astype(int)
+    from pyspark.ml.linalg import Vectors
+
+    train = spark.createDataFrame([(Vectors.dense(r), LABELS[c]) for r, c in zip(x.tolist(), y)], ["features", "label"])
+    params = {"C": 0.7, **({"class_weight": "balanced"} if balanced else {})}
+    left = []
+    for steps in (1, 3, 200):
+        fitted = models.fit(train, "logistic_regression", LABELS, "label", {**params, "max_iter": steps, "tol": 1e-12})
+        end, start = models.gradient_norms(fitted, train, "label", params)
+        w, b = fitted.classifier.coefficientMatrix.toArray(), fitted.classifier.interceptVector.toArray()
+        weight = np.array([200 / (len(set(y)) * (y == c).sum()) for c in y]) if balanced else np.ones(200)
+
+        def gradient(w, b, reg):
+            z = np.exp(x @ w.T + b)
+            r = (z / z.sum(axis=1, keepdims=True) - np.eye(len(w))[y]) * weight[:, None] / weight.sum()
+            return np.linalg.norm(np.hstack([r.T @ x + reg * w, r.sum(axis=0)[:, None]]))
+
+        assert end == pytest.approx(gradient(w, b, 1 / (0.7 * 200)), rel=1e-6, abs=1e-9)
+        assert start == pytest.approx(gradient(0 * w, 0 * b, 0), rel=1e-6)
+        left.append(end / start)
+    assert left[0] > 0.05 and left[2] < 1e-4
+
+
 def test_best_candidate_is_picked(texts):
     weak = experiment.Settings(max_features=1, min_df=1, max_df=1.0, params={"max_iter": 1})
     strong = experiment.Settings(max_features=200, min_df=1, max_df=1.0, params={"max_iter": 30})
