@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from opinara import vocab
 from opinara.functions import scores
 from opinara.operators.sizing import measured
-from opinara.functions.text import collapse_whitespace, count_char, word_count
+from opinara.functions.text import collapse_whitespace, count_char, once, word_count
 
+#: Words that a lexicon may have. Published ones have some ten thousand.
+MAX_LEXICON = 100_000
 LEXICON_SCHEMA = T.StructType([
     T.StructField("token", T.StringType(), False), T.StructField("valence", T.DoubleType(), False)
 ])
@@ -35,6 +37,14 @@ def sized_lexicon(lexicon: DataFrame) -> DataFrame:
     return measured(table, "lexicon")
 
 
+def lexicon_words(table: DataFrame) -> list[str]:
+    """The words of a lexicon, which every task gets with its plan as a set."""
+    found = [r["token"] for r in table.select("token").distinct().limit(MAX_LEXICON + 1).collect()]
+    if len(found) > MAX_LEXICON:
+        raise ValueError(f"a lexicon of more than {MAX_LEXICON} words does not fit a plan")
+    return found
+
+
 def _is_upper(word: Column) -> Column:
     """Some letter with case, and none of them lower."""
     return word.rlike(r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$")
@@ -77,10 +87,11 @@ _ALL_CAPS_WORD = r"(?<![^ ])[^ \p{Ll}\p{Lt}\p{Lu}]*+\p{Lu}[^ \p{Ll}\p{Lt}]*+(?![
 _OTHER_WORD = r"(?<![^ ])(?:[^ \p{Ll}\p{Lt}]*+[\p{Ll}\p{Lt}]|[^ \p{Lu}]++(?![^ ]))"
 
 
-def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """One row per token with the tokens around it; those keep their punctuation until a row is a hit.
+def _hit_rows(df: DataFrame, row_id: str, text: str, words: list[str]) -> DataFrame:
+    """One row per token that is in the lexicon, with the tokens around it; those keep their punctuation.
 
-    The array of a text is split once; capitals and "but" are looked for only in texts that can have them.
+    Tokens are tested in the array of their text, and only hits leave it. The array of a text is split once; capitals
+    and "but" are looked for only in texts that can have them. Boosters carry no valence themselves.
     """
     prepared = df.select(F.col(row_id).alias("_id"), collapse_whitespace(text).alias("_even"))
     mixed = F.col("_even").rlike(_ALL_CAPS_WORD) & F.col("_even").rlike(_OTHER_WORD)
@@ -90,17 +101,20 @@ def _token_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
         F.array_remove(F.split("_even", " "), "").alias("_words"),
     )
     plain = F.transform("_words", lambda w: F.lower(_stripped(w)))
-    but_at = F.when(F.col("_has_but"), F.nullif(F.array_position(plain, "but"), F.lit(0)) - 1).cast("int")
-    prepared = prepared.select("_id", "_mixed", "_words", but_at.alias("_but"))
-    rows = prepared.select("*", F.posexplode_outer("_words").alias("_at", "_raw")).where(F.col("_raw").isNotNull())
+    wanted = sorted(set(words) - {*vocab.BOOSTERS, *vocab.DAMPENERS})
 
-    def near(step: int) -> Column:
-        return F.get("_words", F.col("_at") + step)
+    def found(low: Column) -> Column:
+        def hit(w, i):
+            around = {"w1": i - 1, "w2": i - 2, "w3": i - 3, "after": i + 1, "after2": i + 2}
+            return F.when(w.isin(wanted), F.struct(
+                i.alias("_at"), _stripped(F.get("_words", i)).alias("word"), *[F.get("_words", at).alias(n) for n, at in around.items()]))
 
-    return rows.select(
-        "_id", "_mixed", "_but", "_at", _stripped(F.col("_raw")).alias("word"),
-        near(-1).alias("w1"), near(-2).alias("w2"), near(-3).alias("w3"), near(1).alias("after"), near(2).alias("after2"),
-    )
+        but_at = F.when(F.col("_has_but"), F.nullif(F.array_position(low, "but"), F.lit(0)) - 1).cast("int")
+        return F.struct(but_at.alias("_but"), F.filter(F.transform(low, hit), lambda h: h.isNotNull()).alias("_hits"))
+
+    prepared = prepared.select("_id", "_mixed", once(plain, found).alias("_f"))
+    rows = prepared.select("_id", "_mixed", F.col("_f._but").alias("_but"), F.explode_outer("_f._hits").alias("_h"))
+    return rows.where(F.col("_h").isNotNull()).select("_id", "_mixed", "_but", "_h.*")
 
 
 def emoji_words(text, descriptions: dict[str, str]) -> Column:
@@ -143,16 +157,12 @@ def token_valences(
     idioms = vocab.IDIOMS if idioms is None else idioms
     phrases = vocab.DAMPENING_PHRASES if phrases is None else phrases
     table = sized_lexicon(lexicon)
-    members = table.select(F.col("token").alias("_m"))
-    rows = _token_rows(df, row_id, text)
-    # Boosters carry no valence themselves, nor does "kind" in "kind of".
-    low = F.lower("word")
-    rows = rows.where(~low.isin(vocab.BOOSTERS + vocab.DAMPENERS)).join(table, low == F.col("token"))
+    members = lexicon_words(table)
+    rows = _hit_rows(df, row_id, text, members).join(table, F.lower("word") == F.col("token"))
+    # "kind" in "kind of" carries no valence.
     rows = rows.withColumns({name: _stripped(F.col(name)) for name in ("w1", "w2", "w3", "after", "after2")})
     rows = rows.where(~((F.col("token") == "kind") & _one_of(F.lower("after"), "of")))
-    for name in ("w1", "w2", "w3", "after"):
-        side = members.select(F.col("_m").alias(f"_{name}"))
-        rows = rows.join(side, F.lower(name) == F.col(f"_{name}"), "left").withColumn(f"in_{name}", F.col(f"_{name}").isNotNull()).drop(f"_{name}")
+    rows = rows.withColumns({f"in_{name}": F.coalesce(F.lower(name).isin(members), F.lit(False)) for name in ("w1", "w2", "w3", "after")})
 
     l1, l2, l3 = F.lower("w1"), F.lower("w2"), F.lower("w3")
     mixed = F.col("_mixed")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import WORD_CHARS, plain_letters, plain_letters_sql
+from opinara.operators.sizing import measured
 from opinara.operators.words import with_pairs
 
 MAX_VOCABULARY = 1_000_000
@@ -137,9 +138,9 @@ def tfidf_table(
 ) -> DataFrame:
     """The document-term matrix as ``(row, term, weight)``."""
     model = fit_terms(df, text, max_features, min_df, max_df, stop_words, ngrams, tfidf)
-    names = F.array(*[F.lit(t) for t in model.terms])
+    names = measured(df.sparkSession.createDataFrame(list(enumerate(model.terms)), "index int, term string"), "names")
     entries = sparse_entries(model.transform(df.select(row_id, text)), row_id, model.output)
-    return entries.select(row_id, F.get(names, "index").alias("term"), "weight")
+    return entries.join(names, "index").select(row_id, "term", "weight")
 
 
 def scale(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
