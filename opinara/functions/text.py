@@ -11,7 +11,7 @@ from functools import cache, reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,8 +155,10 @@ def split_contractions(c) -> Column:
     return F.regexp_replace(_col(c), rf"[{initials}][a-z]{{2}}(?:{cuts})", "$0 ")
 
 
-def remove_stop_words(c, stop_words: list[str]) -> Column:
-    return F.array_join(drop_words(tokens(split_contractions(c)), stop_words), " ")
+def remove_stop_words(c, stop_words: list[str], lemma=None) -> Column:
+    """The words that are no stop words, by a space; ``lemma`` gives the form of each that stands in the result."""
+    words = drop_words(tokens(split_contractions(c)), stop_words)
+    return F.array_join(F.transform(words, lambda w: once(w, lemma)) if lemma else words, " ")
 
 
 # --- cleaning profiles: a null text becomes an empty one ----------------------------------------------
@@ -185,13 +187,13 @@ def clean_standard(c) -> Column:
     return collapse_whitespace(remove_digits(remove_punctuation(clean_basic(c))))
 
 
-def clean_aggressive(c, stop_words: list[str]) -> Column:
-    """Standard cleaning without stop words. Lemmas need a table: see ``operators.lemmas``."""
-    return remove_stop_words(clean_standard(c), stop_words)
+def clean_aggressive(c, stop_words: list[str], lemma=None) -> Column:
+    """Standard cleaning without stop words; ``operators.lemmas.dictionary`` makes a ``lemma`` of a table."""
+    return remove_stop_words(clean_standard(c), stop_words, lemma)
 
 
-def clean_for_tfidf(c, stop_words: list[str]) -> Column:
-    return remove_stop_words(remove_digits(remove_punctuation(_without_social(c))), stop_words)
+def clean_for_tfidf(c, stop_words: list[str], lemma=None) -> Column:
+    return remove_stop_words(remove_digits(remove_punctuation(_without_social(c))), stop_words, lemma)
 
 
 def clean_minimal(c) -> Column:
@@ -204,6 +206,17 @@ def clean_platform_b(c) -> Column:
     return collapse_whitespace(blank_special(_marked(text, ("http", "www"), remove_urls(text, loose=True))))
 
 
+def with_profiles(df: DataFrame, column: str, stop_words: list[str], lemma=None) -> DataFrame:
+    """All cleaning profiles of a column side by side; steps that profiles share are done once."""
+    staged = df.withColumn("_social", _without_social(column)).withColumn("basic", collapse_whitespace("_social"))
+    staged = staged.withColumn("standard", collapse_whitespace(remove_digits(remove_punctuation("basic"))))
+    return staged.withColumns({
+        "aggressive": remove_stop_words("standard", stop_words, lemma),
+        "tfidf": remove_stop_words(remove_digits(remove_punctuation("_social")), stop_words, lemma),
+        "minimal": clean_minimal(column), "platform_b": clean_platform_b(column),
+    }).drop("_social")
+
+
 PROFILES = ("basic", "standard", "aggressive", "tfidf", "minimal", "platform_b")
 
 

@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import json
+from collections.abc import Callable
 
-from opinara.functions.text import tokens
-from opinara.operators.sizing import measured
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from opinara.functions.text import once, tokens
 
-#: Forms that one map inside a row expression may hold; with more of them words are joined instead.
-MAP_FORMS = 2_000
+#: Forms that a table may have. Those of a language run to some hundred thousand.
+MAX_FORMS = 1_000_000
+#: Forms that share a bucket, on average.
+BUCKET_FORMS = 4
 
 
-def lemmatise(
-    df: DataFrame, row_id: str, text: str, lemmas: DataFrame, out: str = "lemmatised", map_forms: int = MAP_FORMS
-) -> DataFrame:
-    """Replace each word that has a lemma and leave the others. Of several lemmas of a form the smallest counts.
+def dictionary(lemmas: DataFrame) -> Callable[[Column], Column]:
+    """A function from a word to its lemma, or to the word itself.
 
-    A small table becomes a map, and texts are rewritten in place. With a larger one words travel as ``(row, position,
-    word)`` and are put back in order; what is gathered per row is a single text.
+    The table, which is a dictionary and does not grow with the texts, becomes one constant of the plan: small maps,
+    found by the hash of a word, so a word costs the same with ten forms and with hundreds of thousands. No token leaves
+    its row. Of several lemmas of a form the smallest counts.
     """
-    table = measured(lemmas.where("form IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma")), "lemmas")
-    if table.count() <= map_forms:
-        pairs = [x for r in table.collect() for x in (F.lit(r["form"]), F.lit(r["lemma"]))]
-        named = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(""))
-        words = F.transform(tokens(text), lambda w: F.coalesce(F.try_element_at(named, w), w))
-        return df.withColumn(out, F.coalesce(F.array_join(words, " "), F.lit("")))
-    words = df.select(row_id, F.posexplode_outer(tokens(text)).alias("_at", "_word")).where(F.col("_word").isNotNull())
-    replaced = words.join(table, words["_word"] == table["form"], "left").select(
-        row_id, F.struct("_at", F.coalesce("lemma", "_word").alias("_word")).alias("_t")
-    )
-    texts = replaced.groupBy(row_id).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_t")), lambda t: t["_word"]), " ").alias(out)
-    )
-    return df.join(texts, row_id, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    known = lemmas.where("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma")).limit(MAX_FORMS + 1)
+    rows = known.select("form", "lemma", F.xxhash64("form").alias("h")).collect()
+    if len(rows) > MAX_FORMS:
+        raise ValueError(f"a lemma table of more than {MAX_FORMS} forms does not fit a plan")
+    n = max(1, len(rows) // BUCKET_FORMS)
+    buckets: list[dict[str, str]] = [{} for _ in range(n)]
+    for r in rows:
+        buckets[r["h"] % n][r["form"]] = r["lemma"]
+    # One literal instead of one for each form; it is read once, when the plan is made.
+    constant = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,string>>")
+
+    def lemma(word: Column) -> Column:
+        here = F.get(constant, F.pmod(F.xxhash64(word), F.lit(n)).cast("int"))
+        return F.coalesce(F.try_element_at(here, word), word)
+
+    return lemma
+
+
+def lemmatise(df: DataFrame, text: str, lemmas: DataFrame, out: str = "lemmatised") -> DataFrame:
+    """Replace each word that has a lemma and leave the others."""
+    lemma = dictionary(lemmas)
+    words = F.transform(tokens(text), lambda w: once(w, lemma))
+    return df.withColumn(out, F.coalesce(F.array_join(words, " "), F.lit("")))

@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from opinara import vocab
 from opinara.functions import calendar, scores, text
 from opinara.operators import joins, lemmas, relevance, shaping
 
 
-def clean_columns(df: DataFrame, source: str = "text", stop_words: list[str] | None = None,
-                  row_id: str | None = None, lemma_table: DataFrame | None = None) -> DataFrame:
-    """The three text columns in one projection; lemmas, when a table is given, need a row id."""
+def clean_columns(df: DataFrame, source: str = "text", stop_words: list[str] | None = None, lemma_table: DataFrame | None = None) -> DataFrame:
+    """The three text columns in one projection."""
     stop_words = vocab.STOP_WORDS if stop_words is None else stop_words
-    df = df.withColumns({
-        "text_tfidf": text.clean_for_tfidf(source, stop_words),
+    return df.withColumns({
+        "text_tfidf": text.clean_for_tfidf(source, stop_words, lemmas.dictionary(lemma_table) if lemma_table is not None else None),
         "text_bert": text.clean_minimal(source),
         "text_clean": text.clean_basic(source),
     })
-    if lemma_table is not None:
-        df = lemmas.lemmatise(df, row_id, "text_tfidf", lemma_table, "_lemmas").drop("text_tfidf").withColumnRenamed("_lemmas", "text_tfidf")
-    return df
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -54,7 +49,5 @@ def prepare(raw_a: DataFrame, raw_b: DataFrame, order: str, stop_words: list[str
             lemma_table: DataFrame | None = None) -> DataFrame:
     """The final table. ``order`` is a column of both inputs that numbers their rows."""
     merged = shaping.keep_first(merge(raw_a, raw_b, (order,)), ["text"], ["source_rank", order])
-    merged = merged.withColumn("_row", F.concat_ws(":", "source_rank", order))
-    cleaned = clean_columns(merged, "text", stop_words, "_row", lemma_table).drop("_row")
-    featured = engineer(cleaned).drop("source_rank", order)
+    featured = engineer(clean_columns(merged, "text", stop_words, lemma_table)).drop("source_rank", order)
     return shaping.finalise_types(relevance.drop_empty_text(featured))

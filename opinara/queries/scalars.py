@@ -57,16 +57,21 @@ _select("i15_remove_stop_words", {"out": t.s_without("text", vocab.STOP_WORDS)},
     f"WHEN '{a}' THEN '{b}'" for a, b in t.LEMMAS)} ELSE w END), ' '), '') AS lemmatised FROM documents""")
 def i16(spark, sf):
     d = t.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    return lemmas.lemmatise(d, "doc_id", "text", t.lemma_table(spark)).drop("text")
+    return lemmas.lemmatise(d, "text", t.lemma_table(spark)).drop("text")
+
+
+_PROFILES = {
+    "basic": t.s_basic("text"), "standard": t.s_standard("text"), "aggressive": t.s_lemmas(t.s_without(t.s_standard("text"), vocab.STOP_WORDS)),
+    "tfidf": t.s_lemmas(t.s_tfidf("text", vocab.STOP_WORDS)), "minimal": t.s_minimal("text"), "platform_b": t.s_platform_b("text"),
+}
+
+
+@query("i17_cleaning_profiles", f"SELECT doc_id, {', '.join(f'{c} AS {n}' for n, c in _PROFILES.items())} FROM documents")
+def i17(spark, sf):
+    d = t.table(spark, sf, "documents").select("doc_id", "text")
+    return text.with_profiles(d, "text", vocab.STOP_WORDS, lemmas.dictionary(t.lemma_table(spark))).drop("text")
 
 
-_select("i17_cleaning_profiles", {
-    "basic": t.s_basic("text"), "standard": t.s_standard("text"), "aggressive": t.s_without(t.s_standard("text"), vocab.STOP_WORDS),
-    "tfidf": t.s_tfidf("text", vocab.STOP_WORDS), "minimal": t.s_minimal("text"), "platform_b": t.s_platform_b("text"),
-}, lambda c: {
-    "basic": text.clean_basic(c), "standard": text.clean_standard(c), "aggressive": text.clean_aggressive(c, vocab.STOP_WORDS),
-    "tfidf": text.clean_for_tfidf(c, vocab.STOP_WORDS), "minimal": text.clean_minimal(c), "platform_b": text.clean_platform_b(c),
-})
 _select("i18_truncate", {"short": "CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END"}, lambda c: {"short": text.truncate(c, 100)})
 
 

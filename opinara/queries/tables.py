@@ -239,6 +239,11 @@ def s_tfidf(c: str, stop_words) -> str:
     return s_without(s_no_digits(s_no_punct(s_social(c))), stop_words)
 
 
+def s_lemmas(c: str) -> str:
+    lemma = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LEMMAS)
+    return f"coalesce(array_to_string(list_transform({s_tokens(c)}, lambda w: CASE w {lemma} ELSE w END), ' '), '')"
+
+
 def s_minimal(c: str) -> str:
     return s_collapse(f"translate({s_no_noise(c)}, '@#', '')")
 

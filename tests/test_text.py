@@ -93,11 +93,17 @@ def test_word_bounds(evaluate_text):
 
 
 def test_lemmas_keep_order_and_unknown_words(spark):
-    rows = spark.createDataFrame([(1, "cats are  running"), (2, ""), (3, "cats cats dog")], "id int, t string")
-    table = spark.createDataFrame([("cats", "cat"), ("running", "run")], "form string, lemma string")
-    for forms in (0, 10):
-        out = {r["id"]: r["l"] for r in lemmas.lemmatise(rows, "id", "t", table, "l", map_forms=forms).collect()}
-        assert out == {1: "cat are run", 2: "", 3: "cat cat dog"}
+    rows = spark.createDataFrame([(1, "cats are  running"), (2, ""), (3, "cats cats dog"), (1, "dog"), (1, "dog"), (4, None)], "id int, t string")
+    small = spark.createDataFrame([("cats", "cat"), ("running", "run"), ("cats", "cot"), (None, "x"), ("dog", None), ('q"\\é', "y")], "form string, lemma string")
+    large = small.unionByName(spark.range(200_000).selectExpr("concat('form', id) AS form", "concat('lemma', id) AS lemma"))
+    for table in (small, large, small.limit(0)):
+        done = lemmas.lemmatise(rows, "t", table, "l")
+        assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+        out = sorted((r["id"], r["l"]) for r in done.collect())
+        empty = table.isEmpty()
+        assert out == [(1, "cats are running" if empty else "cat are run"), (1, "dog"), (1, "dog"), (2, ""), (3, "cats cats dog" if empty else "cat cat dog"), (4, "")]
+    forms = spark.createDataFrame([('form77 form199999 form200000 q"\\é',)], "t string")
+    assert lemmas.lemmatise(forms, "t", large).first()["lemmatised"] == "lemma77 lemma199999 form200000 y"
 
 
 @settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
