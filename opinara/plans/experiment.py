@@ -142,3 +142,42 @@ def pick_best(df: DataFrame, row_id: str, text: str, label: str, labels: list[st
     table = evaluate.compare({name: o.scores() for name, o in outcomes.items()})
     best = evaluate.best_model(table).first()["model"]
     return best, outcomes[best], table
+
+
+def best_length(
+    df: DataFrame, row_id: str, text: str, label: str, labels: list[str], settings: Settings | None = None,
+    lengths: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128), validation: float = 0.15, patience: int = 2,
+) -> tuple[Outcome, DataFrame]:
+    """A logistic regression stopped at the number of iterations that does best on validation rows, and its history.
+
+    A stratified part of the training rows is set aside. Fits of growing length are judged on it, and when ``patience`` of
+    them in a row bring no better accuracy, longer ones are not tried. The solver takes the same steps whatever its
+    limit, so a fit of some length is where a longer one was at that iteration. The history has one row per length:
+    iterations, training loss, accuracy and loss on the validation rows, and whether it was chosen (the first of the
+    best). The outcome is judged on the test rows. All lengths share one split and one vectoriser.
+    """
+    s = settings or Settings()
+    if s.kind != "logistic_regression":
+        raise ValueError("only the logistic regression is stopped by validation")
+    made = features(df, row_id, text, label, s)
+    marked = measured(splits.stratified_split(made.train, row_id, label, {"validation": validation}, "fit", s.seed, "_part"), "parts")
+    fit_rows, held = (marked.where(F.col("_part") == part).drop("_part") for part in ("fit", "validation"))
+    probabilities = {x: f"prob_{x}" for x in labels}
+    history, best, since = [], None, 0
+    for length in lengths:
+        outcome = run(df, row_id, text, label, labels, replace(s, params={**s.params, "max_iter": length}), replace(made, train=fit_rows, test=held))
+        losses = outcome.fitted.classifier.summary.objectiveHistory
+        row = (length, len(losses) - 1, float(losses[-1]), outcome.scores().first()["accuracy"],
+               evaluate.cross_entropy(outcome.predictions, probabilities).first()["loss"])
+        history.append(row)
+        since += 1
+        if best is None or row[3] > best[0][3]:
+            best, since = (row, outcome), 0
+        if since >= patience or row[1] < length:  # a fit that ended by itself is as long as any
+            break
+    row, outcome = best
+    predictions = measured(models.predict(outcome.fitted, made.test, [row_id, F.col(label).alias("actual")]), "predictions")
+    table = df.sparkSession.createDataFrame(
+        [(*h, h[0] == row[0]) for h in history],
+        "length int, iterations int, loss double, validation_accuracy double, validation_loss double, chosen boolean")
+    return replace(outcome, predictions=predictions, test=made.test), table

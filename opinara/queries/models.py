@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opinara.operators import evaluate, models, splits
-from opinara.plans.experiment import Settings, pick_best, run, score_texts, text_pipeline
+from opinara.plans.experiment import Settings, best_length, pick_best, run, score_texts, text_pipeline
 from opinara.queries import tables as t
 from opinara.queries.registry import query, rounded
 
@@ -176,6 +176,12 @@ def l09(spark, sf):
     return table.select("model", n_test.scalar().alias("n_test"), (first.scalar() == top.scalar()).alias("valid"))
 
 
+@query("l09_history")
+def l09_history(spark, sf):
+    """Loss and validation accuracy of fits of growing length, and the one that is kept."""
+    return best_length(t.labelled(spark, sf), "doc_id", "text", "label", t.LABELS, Settings(params=_BALANCED))[1]
+
+
 @query("m10_training_time", f"WITH {_SPLIT} SELECT 'logistic_regression' AS model, true AS positive, count(*) FILTER (split = 'test') AS n_test FROM s")
 def m10(spark, sf):
     o = _outcome(spark, sf)

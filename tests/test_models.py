@@ -82,6 +82,25 @@ def test_gradient_shows_how_far_a_fit_got(spark, balanced):
     assert left[0] > 0.05 and left[2] < 1e-4
 
 
+def test_best_length_is_that_of_a_fresh_fit(spark, texts):
+    settings = experiment.Settings(max_features=200, min_df=1, max_df=1.0, params={"class_weight": "balanced", "tol": 1e-9})
+    outcome, history = experiment.best_length(texts, "id", "text", "label", LABELS, settings, lengths=(1, 2, 3, 5, 50), patience=2)
+    rows = history.orderBy("length").collect()
+    assert [r["length"] for r in rows] == [1, 2, 3, 5, 50][:len(rows)] and sum(r["chosen"] for r in rows) == 1
+    best = next(r for r in rows if r["chosen"])
+    assert best["validation_accuracy"] == max(r["validation_accuracy"] for r in rows)
+    assert all(a["loss"] >= b["loss"] for a, b in zip(rows, rows[1:]))
+    later = [r for r in rows if r["length"] > best["length"]]
+    assert len(later) <= 2 and all(r["validation_accuracy"] <= best["validation_accuracy"] for r in later)
+    fresh = models.fit(outcome.train, "logistic_regression", LABELS, "label", {**settings.params, "max_iter": best["length"]})
+    assert np.allclose(fresh.classifier.coefficientMatrix.toArray(), outcome.fitted.classifier.coefficientMatrix.toArray())
+    assert outcome.test.count() == 24 and outcome.predictions.count() == 24 and outcome.train.count() < 96
+    # The first iterations of a longer fit are a shorter one.
+    longer = models.fit(outcome.train, "logistic_regression", LABELS, "label", {**settings.params, "max_iter": 5})
+    steps = longer.classifier.summary.objectiveHistory
+    assert all(r["loss"] == pytest.approx(steps[r["iterations"]]) for r in rows if r["iterations"] < len(steps))
+
+
 def test_best_candidate_is_picked(texts):
     weak = experiment.Settings(max_features=1, min_df=1, max_df=1.0, params={"max_iter": 1})
     strong = experiment.Settings(max_features=200, min_df=1, max_df=1.0, params={"max_iter": 30})
