@@ -1,12 +1,14 @@
-"""Long byte strings that occur more than once in the corpus, by hashes of windows and equality in suffix order.
+"""Long byte strings that occur more than once in the corpus, by longest previous factors in suffix order.
 
 Every window of ``length`` bytes is owned by the least-hashed stretch of ``ANCHOR`` bytes inside it, so equal windows
 are owned by equal stretches at the same place. Neighbouring windows of one owner form a run. Counts of owners, and of
 whole runs, settle nearly all windows without moving a text: an owner seen once has no repeated window, and a whole
 run seen twice has only repeated ones. The rest, the runs around the ends of a repeated passage, are gathered by owner
-in groups of bounded size. In each group, windows whose hash occurs twice are put in suffix order by ``length`` bytes,
-and neighbours of equal rank are copies. The lengths of previous factors are not computed, only whether they reach
-``length``. Owners with more runs than a group holds are settled by counts of window digests.
+in groups of bounded size, as no factor of ``length`` bytes can lead out of its owner. In each group, the windows whose
+hash occurs twice are put in suffix order. The previous and the next smaller position in this order give the longest
+previous factor of each, and windows whose factor reaches ``length`` are later copies. Longer factors need no number, so
+the order goes to the depth of ``length`` bytes. Owners with more runs than a group holds are settled by counts of
+window digests.
 
 ``keep_first`` leaves the first copy by (id, place) and drops the later ones; otherwise all copies go. Bytes covered by
 a dropped window are removed. Windows never cross documents, and are judged on the input alone.
@@ -104,42 +106,68 @@ def run_rows(docs: DataFrame, length: int, anchor: int, counted: bool) -> DataFr
     return docs.mapInArrow(task, "_id bigint, _key bigint, owner bigint, whole bigint, place bigint")
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rank of every position by the next ``length`` bytes, and the ranks by 8, 16, 32 ... bytes on the way."""
+def suffix_ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Rank of every position by the next ``length`` bytes (8 at least), and (n, what tells the next n bytes apart) for
+    each power of two up to ``length``."""
     padded = np.concatenate((data, np.zeros(length + 8, np.uint8)))
-    words = np.zeros(len(data), dtype=U)
+    packed = np.zeros(len(data), dtype=U)
     for i in range(8):
-        words = (words << U(8)) | padded[i:i + len(data)].astype(U)
-    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-    levels, size = [rank], 8
+        packed = (packed << U(8)) | padded[i:i + len(data)].astype(U)
+    levels = [(n, packed >> U(64 - 8 * n)) for n in (1, 2, 4)]
+    rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+    levels.append((8, rank))
 
     def joined(rank, step):
         after = np.concatenate((rank[step:], np.zeros(min(step, len(rank)), np.int64)))[:len(rank)]
         return np.unique(rank * np.int64(len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64)
 
+    size = 8
     while size * 2 <= length:
         rank = joined(rank, size)
-        levels.append(rank)
         size *= 2
-    if size < length:
-        rank = joined(rank, length - size)
-    return rank, levels
+        levels.append((size, rank))
+    return joined(rank, length - size) if size < length else rank, levels
+
+
+def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes agree from ``a`` and from ``b`` on, ``length`` at most, which the data must still hold there."""
+    agreed = np.zeros(len(a), np.int64)
+    for size, tells in levels[::-1]:
+        asked = np.flatnonzero(agreed + size <= length)
+        at = agreed[asked]
+        agreed[asked] += size * (tells[a[asked] + at] == tells[b[asked] + at])
+    return agreed
+
+
+def smaller_neighbours(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in the order, the nearest before and after it that holds a smaller position, else -1."""
+    before, after, open_ = [-1] * len(order), [-1] * len(order), []
+    positions = order.tolist()
+    for i, position in enumerate(positions):
+        while open_ and positions[open_[-1]] > position:
+            after[open_.pop()] = i
+        if open_:
+            before[i] = open_[-1]
+        open_.append(i)
+    return np.array(before, np.int64), np.array(after, np.int64)
 
 
 def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For windows at ``starts`` (ascending): is there an equal one before it, and any equal one at all.
+    """Longest previous factor of every window at ``starts`` (ascending), and the index of an earlier window that has it.
 
-    The windows are put in order of their next ``length`` bytes, equal ones by place: the first of a stretch of equal
-    ones has no equal one before it. The lengths of the factors themselves are not computed.
+    The windows are put in suffix order, to the depth of ``length`` bytes; longer factors count as ``length``. The longest
+    match with any earlier window is that with the previous or the next smaller position in this order. -1: no match.
     """
-    rank = suffix_ranks(data, length)[0][starts]
-    order = np.lexsort((starts, rank))
-    ranked = rank[order]
-    same = ranked[1:] == ranked[:-1]
-    earlier, copied = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[order[1:]] = same
-    copied[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    return earlier, copied
+    rank, levels = suffix_ranks(data, length)
+    order = np.lexsort((starts, rank[starts]))
+    factor, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    for near in smaller_neighbours(order):
+        has = np.flatnonzero(near >= 0)
+        own, other = order[has], order[near[has]]
+        agreed = common_prefix(levels, starts[own], starts[other], length)
+        longer = agreed > factor[own]
+        factor[own[longer]], source[own[longer]] = agreed[longer], other[longer]
+    return factor, source
 
 
 def spans(flags: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -174,8 +202,12 @@ def settle(table: pa.Table, length: int, keep_first: bool) -> pa.Table:
         at += high - low
     rows = []
     if texts:
-        earlier, copied = previous_factors(np.concatenate(texts), np.concatenate(starts), length)
-        flags, owner, moved = earlier if keep_first else copied, np.concatenate(owner), np.concatenate(moved)
+        factor, source = previous_factors(np.concatenate(texts), np.concatenate(starts), length)
+        flags = factor >= length
+        if not keep_first:
+            # The second of equal windows has the first as its source, so every window of a repeat is reached.
+            flags[source[flags]] = True
+        owner, moved = np.concatenate(owner), np.concatenate(moved)
         edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
         for a, b in zip(edges[:-1], edges[1:]):
             doc, key = listed[owner[a]][:2]

@@ -62,17 +62,31 @@ def test_long_texts_are_cut_into_stretches(spark, make_prose, monkeypatch):
         assert sorted(p for a, w in zip(start, windows) for p in range(a, a + w)) == list(range(n))
 
 
-def test_suffix_order_gives_factors():
-    data = np.frombuffer(b"abracadabra-abracadabra-abra", np.uint8)
-    starts = np.arange(len(data) - 8 + 1)
-    earlier, copied = repeats.previous_factors(data, starts, 8)
-    seen, n = set(), defaultdict(int)
-    for p in starts:
-        n[bytes(data[p:p + 8])] += 1
-    for p in starts:
-        w = bytes(data[p:p + 8])
-        assert earlier[p] == (w in seen) and copied[p] == (n[w] > 1)
-        seen.add(w)
+@pytest.mark.parametrize("length", [8, 11, 40])
+def test_longest_previous_factors(length):
+    rng = random.Random(length)
+    cases = [b"abracadabra-abracadabra-abra" * 3, b"a" * 120, b"\0" * 60 + b"ab\0" * 30, bytes(rng.choice(b"ab") for _ in range(300)),
+             bytes(range(100))]
+    part = bytes(rng.choice(b"abcd") for _ in range(90))
+    cases.append(part + b"x" + part[20:] + b"y" + part[:70])
+    for data in cases:
+        n = len(data) - length + 1
+        # All windows, and some of them only.
+        for starts in (list(range(n)), sorted(rng.sample(range(n), n // 2))):
+            factor, source = repeats.previous_factors(np.frombuffer(data, np.uint8), np.array(starts), length)
+            for i, p in enumerate(starts):
+                agreed = [next((k for k in range(length) if data[p + k] != data[q + k]), length) for q in starts[:i]]
+                assert factor[i] == max(agreed, default=0)
+                assert source[i] == -1 if not factor[i] else source[i] < i and agreed[source[i]] == factor[i]
+
+
+def test_smaller_neighbours():
+    rng = random.Random(1)
+    order = rng.sample(range(200), 200)
+    before, after = repeats.smaller_neighbours(np.array(order))
+    for i, x in enumerate(order):
+        assert before[i] == max((j for j in range(i) if order[j] < x), default=-1)
+        assert after[i] == min((j for j in range(i + 1, 200) if order[j] < x), default=-1)
 
 
 def test_odd_rows(documents, no_documents):
