@@ -136,7 +136,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.x = d.doc_id"""
 
 def decontaminate_sql() -> str:
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    span = decontaminate.SPAN
+    span, least_span = decontaminate.SPAN, 1 + min(max(m) for m in decontaminate.MASKS)
 
     def seeds(table: str, key: str) -> str:
         return " UNION ALL ".join(
@@ -146,17 +146,24 @@ def decontaminate_sql() -> str:
 
     return rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents),
-i AS MATERIALIZED (SELECT item_id, {words} AS w FROM benchmark),
+i AS MATERIALIZED (SELECT * FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {decontaminate.LEAST_WORDS}),
 hits AS (
   SELECT DISTINCT doc_id, item_id, a.p, b.p AS q FROM ({seeds('d', 'doc_id')}) a JOIN ({seeds('i', 'item_id')}) b ON a.h = b.h
-), placed AS (
-  SELECT doc_id, item_id, p - q AS shift, d.w AS dw, i.w AS iw, least({decontaminate.OVERLAP}, len(i.w)) AS width,
-         greatest(0, least(q + {span // 2} - width // 2, len(i.w) - width)) AS first
-  FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)
+), stretches AS (
+  SELECT DISTINCT doc_id, item_id, shift, width, first FROM (
+    SELECT doc_id, item_id, p - q AS shift, least({decontaminate.OVERLAP}, len(w)) AS width,
+           unnest(range(greatest(0, q + least(0, {least_span} - width)), least(q, len(w) - width) + 1)) AS first
+    FROM hits JOIN i USING (item_id))
 ), scored AS (
   SELECT doc_id, item_id, max(len(list_filter(range(0, width), lambda k: first + shift + k >= 0
-         AND coalesce(dw[first + shift + k + 1] = iw[first + k + 1], FALSE))) / width) AS similarity
-  FROM placed GROUP BY doc_id, item_id
+         AND coalesce(d.w[first + shift + k + 1] = i.w[first + k + 1], FALSE))) / width) AS similarity
+  FROM stretches JOIN d USING (doc_id) JOIN i USING (item_id) GROUP BY doc_id, item_id
+  UNION ALL
+  SELECT doc_id, item_id, max(c / n) FROM (
+    SELECT doc_id, item_id, a.p - b.p AS shift, any_value(b.n) AS n, count(*) AS c
+    FROM (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM d) a
+    JOIN (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM i WHERE len(w) < {span}) b ON a.x = b.x
+    GROUP BY doc_id, item_id, shift) GROUP BY doc_id, item_id
 ), a AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS item_ids, max(similarity) AS similarity
   FROM scored WHERE similarity >= {decontaminate.SIMILARITY} GROUP BY doc_id
