@@ -28,8 +28,7 @@ RULES = (
 # ---------------------------------------------------------------------------------------------------------
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
-#: STEPS is how far the SQL of the query walks; the operator itself walks until TOLERANCE holds.
-DAMPING, STEPS, STEPS_PER_CUT = 0.85, 10, 5
+DAMPING, STEPS_PER_CUT = 0.85, 5
 #: A walk has settled when no host's score grows by more than this share of itself in a step.
 TOLERANCE = 1e-12
 #: Distrust exceeds trust only by more than this share of it, so that the order of additions decides nothing.
