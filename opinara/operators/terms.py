@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import WORD_CHARS, plain_letters, plain_letters_sql
+from opinara.operators.counts import counted, counted_among, frequent
 from opinara.operators.sizing import measured
 from opinara.operators.words import with_pairs
 
@@ -31,34 +32,36 @@ def terms(c, stop_words: list[str] = (), ngrams: int = 2) -> Column:
     return with_pairs(single) if ngrams == 2 else single
 
 
-def term_statistics(df: DataFrame, text: str, stop_words: list[str] = (), ngrams: int = 2) -> DataFrame:
-    """Total count and document count of every term, in one shuffle of partial counts per term.
-
-    Sorting a text's own terms puts equal ones side by side, so its first occurrence of each can be marked
-    in place and no shuffle by document is needed.
-    """
-    single = df.select(words(F.col(text), stop_words).alias("_w"))
-    ordered = single.select(F.sort_array(with_pairs(F.col("_w")) if ngrams == 2 else F.col("_w")).alias("_t"))
-    placed = ordered.select("_t", F.posexplode_outer("_t").alias("_at", "term")).where(F.col("term").isNotNull())
-    repeated = F.coalesce(F.get("_t", F.col("_at") - 1) == F.col("term"), F.lit(False))
-    return placed.select("term", (~repeated).cast("int").alias("first")).groupBy("term").agg(
-        F.count("*").alias("n"), F.sum("first").alias("n_docs")
-    )
+def term_statistics(df: DataFrame, text: str, stop_words: list[str] = (), words: bool = True, pairs: bool = False, among: list[str] | None = None) -> DataFrame:
+    """Total count and document count of every word, every pair, or every pair of the words ``among``."""
+    plain, term = plain_letters(F.lower(text)), F.concat_ws(" ", "first", "second").alias("term")
+    if among is not None:
+        return counted_among(df, plain, among, None, stop_words).select(term, "n", "n_docs")
+    return counted(df, plain, None, stop_words, words=words, pairs=pairs).groupBy(term).agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def vocabulary(
     df: DataFrame, text: str, max_features: int, min_df: int = 1, max_df: float = 1.0,
     stop_words: list[str] = (), ngrams: int = 2,
 ) -> DataFrame:
-    """The most frequent terms within the document bounds, ties by term, indexed in alphabetical order."""
+    """The most frequent terms within the document bounds, ties by term, indexed in alphabetical order.
+
+    Words are counted first. A pair occurs no oftener than its words, so pairs are counted of words alone that occur as
+    often as the last word that would be kept without any pair.
+    """
     if max_features > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} terms does not fit the driver")
     from pyspark.sql import Window as W
 
-    stats = term_statistics(df, text, stop_words, ngrams).where(F.col("n_docs") >= min_df)
+    eligible = F.col("n_docs") >= min_df
     if max_df < 1.0:
-        stats = stats.where(F.col("n_docs") <= F.lit(max_df) * df.agg(F.count("*").alias("n")).scalar())
-    kept = stats.orderBy(F.desc("n"), "term").limit(max_features)
+        eligible = eligible & (F.col("n_docs") <= F.lit(max_df) * F.lit(df.count()))
+    stats = term_statistics(df, text, stop_words)
+    if ngrams == 2:
+        stats = measured(stats, "statistics")
+        among = frequent(stats.select(F.lit(None).cast("string").alias("_by"), "term", "n", eligible.alias("eligible")), max_features)
+        stats = stats.unionByName(term_statistics(df, text, stop_words, words=False, pairs=True, among=among))
+    kept = stats.where(eligible).orderBy(F.desc("n"), "term").limit(max_features)
     return kept.select((F.row_number().over(W.orderBy("term")) - 1).alias("index"), "term", "n", "n_docs")
 
 
@@ -97,11 +100,18 @@ def _stages(text: str, vocab_rows: list, stop_words, ngrams: int, weights: list[
     found = f"regexp_extract_all({plain_letters_sql(f'lower(`{text}`)')}, {quoted(pattern)}, 1)"
     kept = f"filter({found}, w -> w not in ({stop}))" if stop else found
     stages = [SQLTransformer(statement=f"select *, coalesce({kept}, array()) as _words from __THIS__")]
-    pairs = "zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> concat_ws(' ', a, b))"
-    joined = f"concat(_words, {pairs})" if ngrams == 2 else "_words"
+    known = [r["term"] for r in vocab_rows]
+    wanted = [{x.split(" ")[side] for x in known if " " in x} for side in (0, 1)]
+    joined = "_words"
+    if ngrams == 2 and wanted[0]:
+        # Only pairs of which each word has its place in some pair of the vocabulary are written out.
+        first, second = (", ".join(map(quoted, sorted(side))) for side in wanted)
+        pairs = ("zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, greatest(size(_words) - 1, 0)), "
+                 f"(a, b) -> case when a in ({first}) then case when b in ({second}) then concat_ws(' ', a, b) end end)")
+        joined = f"concat(_words, filter({pairs}, p -> p is not null))"
     stages.append(SQLTransformer(statement=f"select *, {joined} as _terms from __THIS__"))
     counted = output if weights is None else "_counts"
-    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab_rows], inputCol="_terms", outputCol=counted)
+    counter = CountVectorizerModel.from_vocabulary(known, inputCol="_terms", outputCol=counted)
     stages.append(counter)
     drop = ["_words", "_terms"]
     if weights is not None:
