@@ -1,8 +1,4 @@
-"""Word frequencies per class.
-
-Arrays are exploded with ``explode_outer`` and empty rows dropped after: for a plain ``explode`` the optimizer
-adds a filter on the array, which would compute it twice.
-"""
+"""Word frequencies per class."""
 
 from __future__ import annotations
 
@@ -10,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import WORD_CHARS, once
+from opinara.operators.counts import counted, counted_among, frequent
 from opinara.operators.limits import ranked_per_group
 from opinara.operators.sizing import measured
 
@@ -24,11 +21,6 @@ def all_words(c) -> Column:
     return F.filter(trimmed, lambda w: ~w.rlike(r"^\p{N}*$"))
 
 
-def cloud_words(c, stop_words: list[str]) -> Column:
-    """Words of two or more characters, apostrophes inside kept, without numbers, possessives and stop words."""
-    return F.filter(all_words(c), lambda w: ~w.isin(stop_words))
-
-
 def with_pairs(words: Column) -> Column:
     """Words followed by pairs of neighbours."""
     pairs = F.zip_with(
@@ -42,17 +34,24 @@ def with_pairs(words: Column) -> Column:
 def word_frequencies(df: DataFrame, by: str, text: str, stop_words: list[str], k: int = 100, pairs: bool = False) -> DataFrame:
     """The k most frequent words of each class, ties by word.
 
-    Counts are combined before the shuffle and every task keeps its own first k before the ranking one.
+    Words have two characters or more, apostrophes inside kept, without numbers, possessives and stop words. Pairs are
+    neighbours among those; only such are counted whose words both occur as often as the k-th word.
     """
-    words = F.col("_words")
-    counts = (
-        df.where(F.col(by).isNotNull())
-        .select(by, cloud_words(text, stop_words).alias("_words"))
-        .select(by, F.explode_outer(with_pairs(words) if pairs else words).alias("word"))
-        .where(F.col("word").isNotNull())
-        .groupBy(by, "word").agg(F.count("*").alias("n"))
-    )
-    return ranked_per_group(counts, [by], [F.desc("n"), F.asc("word")], k)
+    known, lower = df.where(F.col(by).isNotNull()), F.lower(text)
+
+    def total(found: DataFrame) -> DataFrame:
+        return found.groupBy("_by", F.concat_ws(" ", "first", "second").alias("term")).agg(F.sum("n").alias("n"))
+
+    counts = total(counted(known, lower, by, stop_words, True))
+    if pairs:
+        counts = measured(counts, "words")
+        among = frequent(counts.withColumn("eligible", F.lit(True)), k)
+        if among is None:
+            found = total(counted(known, lower, by, stop_words, True, words=False, pairs=True))
+        else:
+            found = counted_among(known, lower, among, by, stop_words, True).select("_by", F.concat_ws(" ", "first", "second").alias("term"), "n")
+        counts = counts.unionByName(found)
+    return ranked_per_group(counts.select(F.col("_by").alias(by), F.col("term").alias("word"), "n"), [by], [F.desc("n"), F.asc("word")], k)
 
 
 def merged_plurals(counts: DataFrame, keys: list[str], term: str = "term", n: str = "n") -> DataFrame:
