@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.functions.text import WORD_CHARS, once
 from opinara.operators.counts import counted, counted_among, frequent
 from opinara.operators.limits import ranked_per_group
 from opinara.operators.sizing import measured
@@ -14,13 +13,6 @@ from opinara.operators.sizing import measured
 PAIR_SCORE = 30
 
 
-def all_words(c) -> Column:
-    """Words of two or more characters, apostrophes inside kept, without numbers and possessives."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(rf"([{WORD_CHARS}][{WORD_CHARS}']+)"), F.lit(1))
-    trimmed = F.transform(found, lambda w: F.regexp_replace(w, "'s$", ""))
-    return F.filter(trimmed, lambda w: ~w.rlike(r"^\p{N}*$"))
-
-
 def with_pairs(words: Column) -> Column:
     """Words followed by pairs of neighbours."""
     pairs = F.zip_with(
@@ -54,18 +46,6 @@ def word_frequencies(df: DataFrame, by: str, text: str, stop_words: list[str], k
     return ranked_per_group(counts.select(F.col("_by").alias(by), F.col("term").alias("word"), "n"), [by], [F.desc("n"), F.asc("word")], k)
 
 
-def merged_plurals(counts: DataFrame, keys: list[str], term: str = "term", n: str = "n") -> DataFrame:
-    """(keys, term, form, n): each term with the form it counts as.
-
-    A term that ends in a single s counts as the term without it where that one occurs, too.
-    """
-    known = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(term).alias("_form"))
-    singular = F.when(F.col(term).endswith("s") & ~F.col(term).endswith("ss"), F.substring(F.col(term), F.lit(1), F.char_length(term) - 1))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_singular") == F.col("_form")]
-    joined = counts.withColumn("_singular", singular).join(known, on, "left")
-    return joined.select(*keys, term, F.coalesce("_form", term).alias("form"), n)
-
-
 def pair_score(both: Column, first: Column, second: Column, total: Column) -> Column:
     """Likelihood ratio of two words following one another, against independence, from their counts."""
 
@@ -81,34 +61,34 @@ def pair_score(both: Column, first: Column, second: Column, total: Column) -> Co
 def cloud_frequencies(df: DataFrame, by: str, text: str, stop_words: list[str], k: int = 100, threshold: float = PAIR_SCORE) -> DataFrame:
     """The k most frequent terms of each class, as a word cloud counts them.
 
-    Plurals count as their singular where it occurs. Neighbours, neither of them a stop word, whose score exceeds the
-    threshold are a term of their own and are taken off the counts of their words. Texts are read once, for the counts
-    of words and pairs; all else works on tables of distinct terms.
+    Plurals, terms that end in a single s, count as their singular where it occurs. Neighbours, neither of them a stop
+    word, whose score exceeds the threshold are a term of their own and are taken off the counts of their words. Texts
+    are read once, for the counts of words and pairs; a term and its plural share a row from the first sum on.
     """
-
-    def terms(words: Column) -> Column:
-        single = F.transform(F.filter(words, lambda w: ~w.isin(stop_words)), lambda w: F.struct(w.alias("term"), F.lit(None).cast("string").alias("second")))
-        after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), after, lambda a, b: F.struct(a.alias("term"), b.alias("second")))
-        return F.concat(single, F.filter(pairs, lambda p: ~p["term"].isin(stop_words) & ~p["second"].isin(stop_words)))
-
-    found = df.where(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.explode_outer(once(all_words(text), terms)).alias("_t"))
-    counts = measured(found.where(F.col("_t").isNotNull()).groupBy("_by", "_t.term", "_t.second").agg(F.count("*").alias("n")), "terms")
-    singles = measured(merged_plurals(counts.where("second IS NULL").select("_by", "term", "n"), ["_by"]), "words")
-    words = measured(singles.groupBy("_by", "form").agg(F.sum("n").alias("n")), "forms")
+    found = counted(df.where(F.col(by).isNotNull()), F.lower(text), by, stop_words, apostrophes=True, pairs=True, across=True)
+    last = F.coalesce("second", "first")
+    plural = last.endswith("s") & ~last.endswith("ss")
+    stem = F.when(plural, F.substring(last, F.lit(1), F.char_length(last) - 1)).otherwise(last)
+    pair = F.col("second").isNotNull()
+    sums = found.select("_by", F.when(pair, F.col("first")).alias("before"), stem.alias("stem"), plural.alias("plural"), "n")
+    sums = sums.groupBy("_by", "before", "stem").agg(
+        F.sum("n").alias("n"), F.max(~F.col("plural")).alias("single"), F.max("plural").alias("plural"))
+    form = F.when(F.col("single"), F.col("stem")).otherwise(F.concat("stem", F.lit("s")))
+    counts = measured(sums.select("_by", "before", form.alias("form"), "n", (F.col("single") & F.col("plural")).alias("both")), "terms")
+
+    words = counts.where("before IS NULL").select("_by", "form", "n", "both")
     totals = words.groupBy("_by").agg(F.sum("n").alias("_total"))
+    written = F.when(F.col("both"), F.array("form", F.concat("form", F.lit("s")))).otherwise(F.array("form"))
+    singles = measured(words.select("_by", F.explode(written).alias("term"), "form", "n"), "words")
 
-    pairs = counts.where("second IS NOT NULL").select("_by", F.concat_ws(" ", "term", "second").alias("term"), "n")
-    pairs = merged_plurals(pairs, ["_by"]).groupBy("_by", "form").agg(F.sum("n").alias("n")).withColumnRenamed("form", "pair")
-    pairs = pairs.withColumns({"_first": F.split_part("pair", F.lit(" "), F.lit(1)), "_second": F.split_part("pair", F.lit(" "), F.lit(2))})
+    pairs = counts.where("before IS NOT NULL").select("_by", F.col("before").alias("_first"), F.col("form").alias("_second"), "n")
     for side in ("_first", "_second"):
-        form = singles.select("_by", F.col("term").alias(side), F.col("form").alias(f"{side}_form"))
-        n = words.select("_by", F.col("form").alias(f"{side}_form"), F.col("n").alias(f"{side}_n"))
-        pairs = pairs.join(form, ["_by", side]).join(n, ["_by", f"{side}_form"])
+        pairs = pairs.join(singles.select("_by", F.col("term").alias(side), F.col("form").alias(f"{side}_form"), F.col("n").alias(f"{side}_n")), ["_by", side])
     score = pair_score(F.col("n"), F.col("_first_n"), F.col("_second_n"), F.col("_total"))
-    strong = measured(pairs.join(totals, "_by").where(score > threshold).select("_by", "pair", "n", "_first_form", "_second_form"), "pairs")
+    strong = pairs.join(totals, "_by").where(score > threshold)
+    strong = measured(strong.select("_by", F.concat_ws(" ", "_first", "_second").alias("pair"), "n", "_first_form", "_second_form"), "pairs")
 
     taken = strong.select("_by", F.explode(F.array("_first_form", "_second_form")).alias("form"), (-F.col("n")).alias("n"))
-    left = words.unionByName(taken).unionByName(strong.select("_by", F.col("pair").alias("form"), "n"))
+    left = words.select("_by", "form", "n").unionByName(taken).unionByName(strong.select("_by", F.col("pair").alias("form"), "n"))
     final = left.groupBy("_by", "form").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
     return ranked_per_group(final.select(F.col("_by").alias(by), F.col("form").alias("word"), "n"), [by], [F.desc("n"), F.asc("word")], k)
