@@ -59,7 +59,8 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
             raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep; ask for that depth or less")
         return RandomForestClassifier(
             numTrees=params.get("n_estimators", 100), maxDepth=depth,
-            minInstancesPerNode=params.get("min_samples_leaf", 1), seed=params.get("seed", 42), **common,
+            minInstancesPerNode=params.get("min_samples_leaf", 1), seed=params.get("seed", 42),
+            cacheNodeIds=True, **common,  # rows keep their node of each tree, so passes neither send trees nor walk them
         )
     if kind == "svc":
         machine = LinearSVC(

@@ -69,3 +69,7 @@ def test_only_frequent_words_make_counted_pairs(spark, monkeypatch, ties):
         assert {r["term"]: r["n"] for r in terms.vocabulary(df, "text", k).collect()} == dict(best[:k])
         out = words.word_frequencies(df, "label", "text", [], k, pairs=True).collect()
         assert [(r["word"], r["n"]) for r in sorted(out, key=lambda r: r["rank"])] == best[:k]
+
+def test_forest_keeps_the_nodes_of_rows():
+    """Without, every pass sends all trees and walks them from the root."""
+    assert models._estimator("random_forest", {"max_depth": 5}, 10, None).getCacheNodeIds()
