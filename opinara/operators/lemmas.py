@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.functions.text import once, tokens
+from opinara.functions.text import tokens
 
 #: Forms that a table may have. Those of a language run to some hundred thousand.
 MAX_FORMS = 1_000_000
@@ -44,5 +44,5 @@ def dictionary(lemmas: DataFrame) -> Callable[[Column], Column]:
 def lemmatise(df: DataFrame, text: str, lemmas: DataFrame, out: str = "lemmatised") -> DataFrame:
     """Replace each word that has a lemma and leave the others."""
     lemma = dictionary(lemmas)
-    words = F.transform(tokens(text), lambda w: once(w, lemma))
+    words = F.transform(tokens(text), lambda w: lemma(w))
     return df.withColumn(out, F.coalesce(F.array_join(words, " "), F.lit("")))

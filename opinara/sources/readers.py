@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,11 @@ NULL_MARK = "\\N"
 RAW_SCHEMAS = {vocab.PLATFORM_A: schemas.RAW_A, vocab.PLATFORM_B: schemas.RAW_B}
 
 
+def slashed(column: str, pattern: str, to: str) -> Column:
+    """Replace a pattern that only fits texts which begin with a backslash; others are not searched."""
+    return F.when(F.startswith(F.col(column), F.lit("\\")), F.regexp_replace(column, pattern, to)).otherwise(F.col(column))
+
+
 class MissingData(FileNotFoundError):
     """The path to load does not exist."""
 
@@ -41,7 +46,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, mark: str = NULL_MARK,
     rows = records.parsed(_checked(lambda p: records.records(spark, p), path), schema, options, header)
     if mark:
         rows = rows.withColumns({
-            f.name: F.regexp_replace(f.name, r"^\\(\\+N)$", "$1") for f in T._parse_datatype_string(schema).fields if f.dataType == T.StringType()
+            f.name: slashed(f.name, r"^\\(\\+N)$", "$1") for f in T._parse_datatype_string(schema).fields if f.dataType == T.StringType()
         })
     return rows if with_order else rows.drop("source_file", "block_start", "row_order")
 

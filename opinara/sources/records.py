@@ -95,7 +95,7 @@ def records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     read = lines(spark, path)
     inside = starts_inside(read, quote)
 
-    def task(batches):
+    def joined_lines(batches):
         joiner = None
         for batch in batches:
             files, blocks = batch.column(0), batch.column(1).to_numpy()
@@ -114,18 +114,25 @@ def records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
         if joiner:
             yield from joiner.finish()
 
-    found = read.mapInArrow(task, "source_file string, block_start bigint, row_order bigint, piece int, record string")
+    def part(keep):
+        """Records or pieces alone, so that no task hands on rows that are dropped next."""
+        def task(batches):
+            for batch in joined_lines(batches):
+                yield batch if keep is None else batch.filter(keep(batch.column(3), WHOLE))
+
+        return read.mapInArrow(task, "source_file string, block_start bigint, row_order bigint, piece int, record string")
+
     if not inside:
         # No record runs over the end of a split; a quote left open at the end of a file is a record, too.
-        return found.drop("piece")
-    pieces = measured(found.where(F.col("piece") != WHOLE), "pieces")
+        return part(None).drop("piece")
+    pieces = measured(part(pc.not_equal), "pieces")
     in_file = W.partitionBy("source_file").orderBy("block_start", "piece").rowsBetween(W.unboundedPreceding, 0)
     numbered = pieces.select(*PLACE, "piece", F.sum((F.col("piece") == BEGIN).cast("int")).over(in_file).alias("_n"))
     joined = pieces.join(numbered, [*PLACE, "piece"]).groupBy("source_file", "_n").agg(
         F.min(F.struct("block_start", "piece", "row_order")).alias("_at"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_start", "piece", "record"))), lambda x: x["record"]), "\n").alias("record"))
     joined = joined.select("source_file", F.col("_at.block_start").alias("block_start"), F.col("_at.row_order").alias("row_order"), "record")
-    return found.where(F.col("piece") == WHOLE).drop("piece").unionByName(joined)
+    return part(pc.equal).drop("piece").unionByName(joined)
 
 
 def parsed(found: DataFrame, schema: str, options: dict[str, str], header: bool = True) -> DataFrame:

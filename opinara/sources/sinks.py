@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.sources.readers import NULL_MARK
+from opinara.sources.readers import NULL_MARK, slashed
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Files that ``readers.read_csv`` gives back as they were: NULL, empty texts, line breaks and white space."""
     options = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": NULL_MARK, "emptyValue": '""',
                "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    marked = {f.name: F.regexp_replace(f.name, r"^(\\+N)$", r"\\$1") for f in df.schema.fields if f.dataType == T.StringType()}
+    marked = {f.name: slashed(f.name, r"^(\\+N)$", r"\\$1") for f in df.schema.fields if f.dataType == T.StringType()}
     df.withColumns(marked).write.mode(mode).options(**options).csv(path)
 
 

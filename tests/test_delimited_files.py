@@ -94,3 +94,21 @@ def test_only_pieces_at_the_ends_of_splits_move(spark, tmp_path, split_size):
     assert found.count() == 3001
     pieces = found.groupBy("source_file", "block_start").count()
     assert pieces.agg(F.sum("count")).first()[0] == 3001 and found.select("block_start", "row_order").distinct().count() == 3001
+
+
+def test_only_texts_with_a_backslash_in_front_are_searched(spark):
+    from pyspark.sql import functions as F
+
+    from opinara.functions import text
+    from opinara.sources import readers
+
+    values = ["\\N", "\\\\N", "N", "\\NN", "a\\N", "", None, "\\"]
+    df = spark.createDataFrame([(x,) for x in values], "x string")
+    changed = [r[0] for r in df.select(readers.slashed("x", r"^(\\+N)$", r"\\$1")).collect()]
+    assert changed == ["\\\\N", "\\\\\\N", "N", "\\NN", "a\\N", "", None, "\\"]
+    back = spark.createDataFrame([(x,) for x in changed], "x string").select(readers.slashed("x", r"^\\(\\+N)$", "$1"))
+    assert [r[0] for r in back.collect()] == values
+    # A word, being bound already, is handed to its lemma without an array around it.
+    lemma = text.remove_stop_words(F.lit("a b"), ["x"], lambda w: F.upper(w))
+    assert spark.range(1).select(lemma.alias("x")).first()["x"] == "A B"
+    assert "array(namedlambda" not in spark.range(1).select(text.remove_stop_words(F.col("id").cast("string"), ["x"], F.upper))._jdf.queryExecution().analyzed().toString()
