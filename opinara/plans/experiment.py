@@ -102,8 +102,9 @@ def features(df: DataFrame, row_id: str, text: str, label: str, s: Settings) ->
             "text_length": text_functions.char_length(text).cast("double"),
             "word_count": text_functions.word_count(text).cast("double"),
         })
-        columns = terms.scale(columns, ["text_length", "word_count"])
     marked = measured(splits.stratified_split(columns, row_id, label, {"test": s.test_size}, "train", s.seed), "split")
+    if s.numeric:  # from the written numbers, so that no text is counted a second time for means and deviations
+        marked = terms.scale(marked, ["text_length", "word_count"])
     is_train = F.col("split") == "train"
     fit_rows = marked if s.fit_scope == "all" else marked.where(is_train)
     model = terms.fit_terms(fit_rows, text, s.max_features, s.min_df, s.max_df, None, s.ngrams, s.tfidf)

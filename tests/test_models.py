@@ -38,6 +38,22 @@ def test_models_learn_separable_classes(spark, texts, kind):
         assert len(top) == 3 and top[0]["value"] >= top[1]["value"]
 
 
+def test_texts_are_measured_once_for_scaling(spark, monkeypatch):
+    """Means and deviations come from written numbers; before, every text was counted for them and again for its row."""
+    data = [(i, None if i == 7 else "word " * (i % 9) + f"filler{i % 5}", LABELS[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, text string, label string").repartition(3)
+    scaled, scale = [], terms.scale
+    monkeypatch.setattr(terms, "scale", lambda rows, columns: scaled.append(rows) or scale(rows, columns))
+    made = experiment.features(df, "id", "text", "label", experiment.Settings(min_df=1, max_df=1.0, numeric=True, tfidf=False, fit_scope="all"))
+    assert len(scaled) == 1 and scaled[0].inputFiles()
+    rows = {r["id"]: r["features"].toArray()[-2:] for part in (made.train, made.test) for r in part.collect()}
+    assert len(rows) == 60 and made.names[-2:] == ["text_length", "word_count"]
+    lengths, counts = np.array([len(t or "") for _, t, _ in data], float), np.array([len((t or "").split()) for _, t, _ in data], float)
+    lengths[7] = np.nan  # a text that is missing has no length
+    assert [rows[i][1] for i in range(60)] == pytest.approx(list((counts - counts.mean()) / counts.std()))
+    assert np.array([rows[i][0] for i in range(60)]) == pytest.approx((lengths - np.nanmean(lengths)) / np.nanstd(lengths), nan_ok=True)
+
+
 def test_saved_pipeline_scores_new_text(spark, texts):
     outcome = run(texts, "logistic_regression")
     path = scratch_path(spark, "model")
