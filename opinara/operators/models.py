@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinara.functions.text import truncate
+from opinara.operators import forest
 from opinara.operators.joins import prediction_text
 from opinara.operators.limits import ranked_per_group, sample_rows
 from opinara.operators.splits import with_class_weight
@@ -60,7 +61,7 @@ def _estimator(kind: str, params: dict, n_rows: int, weight: str | None):
         return RandomForestClassifier(
             numTrees=params.get("n_estimators", 100), maxDepth=depth,
             minInstancesPerNode=params.get("min_samples_leaf", 1), seed=params.get("seed", 42),
-            cacheNodeIds=True, **common,  # rows keep their node of each tree, so passes neither send trees nor walk them
+            cacheNodeIds=True, **common,  # forest.fit takes its parameters from here, and keeps the node of each row, too
         )
     if kind == "svc":
         machine = LinearSVC(
@@ -89,7 +90,8 @@ def fit(train: DataFrame, kind: str, labels: list[str], label: str, params: dict
     try:
         n_rows = rows.count()
         started = time.perf_counter()
-        model = _estimator(kind, params, n_rows, weight).fit(rows)
+        estimator = _estimator(kind, params, n_rows, weight)
+        model = forest.fit(rows, estimator) if kind == "random_forest" else estimator.fit(rows)
         seconds = time.perf_counter() - started
     finally:
         rows.unpersist()
