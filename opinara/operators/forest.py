@@ -18,6 +18,7 @@ The result is Spark ML's model, read from its saved form. The driver gets the sp
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.linalg import Vectors
@@ -133,6 +134,17 @@ def drawn_features(seed: int, tree: int, level: int, nodes, n_features: int, n_d
     return drawn
 
 
+def times_drawn(seed: int, rows, n_trees: int):
+    """How often each tree has drawn each row, by the row's number: shares of a Poisson distribution with mean 1."""
+    import numpy as np
+
+    shares = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+    root = _mixed(np.array([seed % 2**64], np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    base = _mixed(_mixed(np.asarray(rows).astype(np.uint64)) ^ root)
+    place = np.arange(1, n_trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.searchsorted(shares, _mixed(base[:, None] + place) / 2.0**64, side="right").astype(np.uint8)
+
+
 def _gini(weights):
     import numpy as np
 
@@ -206,7 +218,10 @@ def _numbered(left, right):
 
 
 def _lists(rows):
-    return [x.tolist() for x in rows]
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
 
 
 def _matrix(column, width):
@@ -227,8 +242,7 @@ def _start(n_trees: int, cuts, seed: int):
             bins = np.zeros(len(value), np.uint8)
             for end in range(cuts.value.shape[1]):
                 bins += value > cuts.value[feature, end]
-            rng = np.random.default_rng([seed % 2**32, batch.column(3)[0].as_py()])
-            drawn = np.minimum(rng.poisson(1.0, (size, n_trees)), 255).astype(np.uint8)
+            drawn = times_drawn(seed, batch.column(3).to_numpy(), n_trees)
             nodes = np.where(drawn > 0, 0, -1).astype(np.int32)
             every = np.arange(size + 1) * n_trees
             yield pa.RecordBatch.from_arrays(
@@ -293,8 +307,8 @@ def _best(zero_bin, bins: int, classes: int, least: int):
         def told(parts):
             found = _splits(*parts, zero_bin, bins, classes, least)
             names = ["tree", "node", "feature", "bin", "gain", "w", "n", "left_w", "left_n"]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.float64()), pa.list_(pa.int64())] * 2]
-            columns = [pa.array(x if x.ndim == 1 else _lists(x), k) for x, k in zip(found, kinds)]
+            kinds = [pa.int32()] * 4 + [pa.float64()] + [None] * 4
+            columns = [pa.array(x, k) if k else _lists(x) for x, k in zip(found, kinds)]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         kept = None

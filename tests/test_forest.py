@@ -83,6 +83,14 @@ def test_drawn_features_differ_and_are_the_same_in_every_task():
     assert (forest.drawn_features(42, 4, 4, nodes, 30, 6) != drawn).any()
 
 
+def test_rows_are_drawn_with_replacement():
+    drawn = forest.times_drawn(42, np.arange(20_000), 5)
+    assert (forest.times_drawn(42, np.arange(500, 900), 5) == drawn[500:900]).all() and (forest.times_drawn(43, np.arange(20_000), 5) != drawn).any()
+    for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
+        assert (drawn == k).mean(axis=0) == pytest.approx([share] * 5, abs=0.012)
+    assert abs(np.corrcoef(drawn.T) - np.eye(5)).max() < 0.03
+
+
 def test_model_is_that_of_its_rows(spark):
     """Dense and sparse vectors, negative values: leaves hold their rows, and sum up to the root."""
     rows = table(300)
